@@ -9,6 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simple8b import encode_and_read_back
+    from .tokens import vocabulary
+
+    return encode_and_read_back(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+    from .tokens import vocabulary
+
+    return packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
@@ -16,6 +30,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_simple8b": op2_simple8b,
+    "op4_packing": op4_packing,
     "op10_simhash": op10_simhash,
 }
 
