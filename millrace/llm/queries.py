@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from .common import remainder, table
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(F.col("doc_id"), 5) == 1).alias("held_out"))
+    model, counts = train(docs.filter(~F.col("held_out")))
+    return score(docs, model, counts)
+
+
 def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simple8b import encode_and_read_back
     from .tokens import vocabulary
@@ -51,6 +59,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
     "op2_simple8b": op2_simple8b,
     "op4_packing": op4_packing,
     "op6_language_id": op6_language_id,
