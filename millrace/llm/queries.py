@@ -25,6 +25,12 @@ def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read_back(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
     from .tokens import vocabulary
@@ -40,6 +46,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, train(docs.filter(~held_out)), held_out)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination
 
@@ -61,8 +73,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_simple8b": op2_simple8b,
+    "op3_secret_scan": op3_secret_scan,
     "op4_packing": op4_packing,
     "op6_language_id": op6_language_id,
+    "op7_license_scan": op7_license_scan,
     "op8_decontamination": op8_decontamination,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
