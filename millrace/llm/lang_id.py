@@ -134,27 +134,44 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), [r["lang"] for r in rows])
 
 
+def decide(model: Model | None, texts: list[str | None]) -> list[tuple[str, float, bool, str | None]]:
+    """For each text its language, score, whether that is ambiguous, and the second language."""
+    vectors = [features(t) if t else None for t in texts]
+    has = [i for i, v in enumerate(vectors) if v is not None]
+    out: list[tuple[str, float, bool, str | None]] = [(UNKNOWN, 0.0, False, None)] * len(texts)
+    if model is not None and has and len(model.languages) == 1:
+        for i in has:
+            out[i] = (model.languages[0], 1.0, False, None)
+    elif model is not None and has:
+        loss = model.losses(np.stack([vectors[i] for i in has]))
+        order = np.argsort(loss, axis=1, kind="stable")
+        rows = np.arange(len(has))
+        gap = 1 - loss[rows, order[:, 0]] / np.maximum(loss[rows, order[:, 1]], 1e-12)
+        for i, o, g in zip(has, order, gap.tolist(), strict=True):
+            out[i] = (model.languages[o[0]], min(max(g, 0.0), 1.0), g < AMBIGUOUS, model.languages[o[1]])
+    return out
+
+
 def predict(docs: DataFrame, model: Model | None, held_out: Column | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous and the second language."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
         for batch in chunks(batches):
-            vectors = [features(t) if t else None for t in batch.column("text").to_pylist()]
-            has = [i for i, v in enumerate(vectors) if v is not None]
-            name, score, close, second = [UNKNOWN] * len(vectors), np.zeros(len(vectors)), np.zeros(len(vectors), bool), [None] * len(vectors)
-            if known is not None and has and len(known.languages) == 1:
-                for i in has:
-                    name[i], score[i] = known.languages[0], 1.0
-            elif known is not None and has:
-                loss = known.losses(np.stack([vectors[i] for i in has]))
-                order = np.argsort(loss, axis=1, kind="stable")
-                rows = np.arange(len(has))
-                gap = 1 - loss[rows, order[:, 0]] / np.maximum(loss[rows, order[:, 1]], 1e-12)
-                for i, o, g in zip(has, order, gap, strict=True):
-                    name[i], score[i], close[i], second[i] = known.languages[o[0]], float(np.clip(g, 0, 1)), g < AMBIGUOUS, known.languages[o[1]]
-            yield record(PREDICTED, batch.column("doc_id"), batch.column("held_out"), name, score, close, second)
+            found = decide(sent.value, batch.column("text").to_pylist())
+            yield record(PREDICTED, batch.column("doc_id"), batch.column("held_out"), *map(list, zip(*found, strict=True)))
 
     rows = docs.select(F.col("doc_id").cast("long"), (held_out if held_out is not None else F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, PREDICTED_DDL)
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The documents, with all their columns, whose language is known and not ambiguous."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            found = decide(sent.value, batch.column("text").to_pylist())
+            yield batch.filter(pa.array([name != UNKNOWN and not close for name, _, close, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunks, record, texts, written
@@ -240,3 +240,11 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     known = named.select("node", "root").join(names, "root").select(F.col("node").alias("fingerprint"), "component_id")
     return prints.join(known, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The document of the smallest doc_id of each group, with its own columns; of repeated rows of that doc_id one. A null doc_id names no group's document: such rows stay."""
+    kept = simhash_groups(docs.filter("doc_id IS NOT NULL")).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    rows = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")).join(kept, "doc_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("own")))
+    return rows.withColumn("turn", first).filter("turn = 1").select("own.*").unionByName(docs.filter("doc_id IS NULL"))

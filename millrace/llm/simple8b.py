@@ -38,8 +38,8 @@ END_ID = 2
 #: Bytes of text whose ids form a shard; a longer text forms one of its own.
 SHARD_BYTES = 2 << 20
 
-SHARD = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("payload", pa.binary())])
-SHARD_DDL = "part int, seq int, doc_ids array<long>, counts array<long>, n_ids long, payload binary"
+SHARD = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("ahead", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("payload", pa.binary())])
+SHARD_DDL = "part int, seq int, ahead long, doc_ids array<long>, counts array<long>, n_ids long, payload binary"
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -132,18 +132,19 @@ def unpack(stream: bytes, first_block: int = 0, last_block: int | None = None) -
 
 
 def shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID, partitions: int | None = None) -> DataFrame:
-    """Rows (part, seq, doc_ids, counts, n_ids, payload); ordered by (part, seq) they hold the documents in ascending doc_id order."""
+    """Rows (part, seq, ahead: ids before it in its part, doc_ids, counts, n_ids, payload); ordered by (part, seq) they hold the documents in ascending doc_id order."""
     from pyspark import TaskContext
 
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = loaded(vocabulary, "byte"), TaskContext.get().partitionId(), 0
+        encode, part, seq, ahead = loaded(vocabulary, "byte"), TaskContext.get().partitionId(), 0, 0
         for batch in chunks(batches, SHARD_BYTES):
             coded = [(encode(t) if t else b"") + end for t in batch.column("text").to_pylist()]
             ids = np.frombuffer(b"".join(coded), "<u4")
-            yield record(SHARD, [part], [seq], [batch.column("doc_id").to_pylist()], [[len(c) // 4 for c in coded]], [len(ids)], [pack(ids)])
+            yield record(SHARD, [part], [seq], [ahead], [batch.column("doc_id").to_pylist()], [[len(c) // 4 for c in coded]], [len(ids)], [pack(ids)])
             seq += 1
+            ahead += len(ids)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     count = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -154,8 +155,6 @@ def decoded(files: DataFrame) -> DataFrame:
     """From shards: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as little-endian uint32)."""
     sizes = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
-    inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
-    placed = files.select("part", "seq", "n_ids").withColumn("inside", inside).join(F.broadcast(before), "part").select("part", "seq", (F.col("part_start") + F.col("inside")).alias("start"))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +166,8 @@ def decoded(files: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(raw[i:j].tobytes()) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield record(schema, row["doc_ids"], pa.array(starts + row["start"]), row["counts"], crc)
 
-    joined = files.join(placed, ["part", "seq"]).select("start", "doc_ids", "counts", "payload")
+    # a row for each partition, as many as the writer was told to make
+    joined = files.join(F.broadcast(before), "part").select((F.col("part_start") + F.col("ahead")).alias("start"), "doc_ids", "counts", "payload")
     return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
