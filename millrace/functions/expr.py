@@ -45,7 +45,7 @@ def compare(a: Column, op: str, value, double: bool = False) -> Column:
     if not double:
         return plain
     nan = F.isnan(a) | F.isnan(value.cast("double"))
-    return plain | nan if op == "!=" else plain & ~nan
+    return a.isNotNull() & (plain | nan) if op == "!=" else plain & ~nan
 
 
 def without_nan(a: Column) -> Column:

@@ -26,7 +26,7 @@ def sort_keys(df: DataFrame, names: Sequence[str], ascending: Sequence[bool]) ->
         c = quoted(name)
         if isinstance(df.schema[name].dataType, T.DoubleType | T.FloatType):
             # false < true: numbers after NaN, both after null
-            number = ~F.isnan(c)
+            number = F.when(c.isNotNull(), ~F.isnan(c))
             out.append(number.asc_nulls_first() if up else number.desc_nulls_last())
         out.append(c.asc_nulls_first() if up else c.desc_nulls_last())
     return out
