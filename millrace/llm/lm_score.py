@@ -97,16 +97,16 @@ class Units:
 
 def units_of(counts: DataFrame) -> tuple[Units, np.ndarray, np.ndarray]:
     """The units, and for each the tokens and the distinct words that it stands for."""
-    top = counts.orderBy(F.col("n").desc(), "word").limit(HEAD).toArrow()
-    words = [bytes(w) for w in top.column("word").to_pylist()]
-    n = np.array(top.column("n").to_pylist(), np.int64)
-    chosen = [i for i, w in enumerate(words) if w != END][:UNIT_WORDS]
+    top = counts.filter(F.col("word") != F.lit(END)).orderBy(F.col("n").desc(), "word").limit(HEAD).toArrow()
+    ends = counts.filter(F.col("word") == F.lit(END)).first()
+    # the end token stands last in the head, however frequent it is
+    words = [*(bytes(w) for w in top.column("word").to_pylist()), END]
+    n = np.array([*top.column("n").to_pylist(), ends["n"] if ends else 0], np.int64)
+    chosen = list(range(min(UNIT_WORDS, len(words) - 1)))
     own = np.full(len(words), -1)
     own[chosen] = np.arange(len(chosen))
     end_unit = len(chosen)
-    for i, w in enumerate(words):
-        if w == END:
-            own[i] = end_unit
+    own[-1] = end_unit
     # whatever comes after the last unit word in the order belongs to an ending
     others = counts.filter(F.col("word") != F.lit(END))
     if chosen:
@@ -125,8 +125,7 @@ def units_of(counts: DataFrame) -> tuple[Units, np.ndarray, np.ndarray]:
             unit[i] = unit[endings.get(w[-2:], rest_place)]
     mass, kinds = np.zeros(base + len(kept) + 1), np.zeros(base + len(kept) + 1)
     mass[: len(chosen)], kinds[: len(chosen)] = n[chosen], 1
-    if END in words:
-        mass[end_unit], kinds[end_unit] = n[words.index(END)], 1
+    mass[end_unit], kinds[end_unit] = n[-1], n[-1] > 0
     for k, r in enumerate(kept):
         mass[base + k], kinds[base + k] = r["n"], r["v"]
     mass[-1], kinds[-1] = total["n"] - sum(r["n"] for r in kept), total["v"] - sum(r["v"] for r in kept)
@@ -227,7 +226,7 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     counts = word_counts(docs)
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     units, mass, kinds = units_of(counts)
-    end_unit = min(UNIT_WORDS, sum(w != END for w in units.head))
+    end_unit = int(units.unit[units.head[END]])
     pairs = unit_bigrams(docs, units, end_unit)
     of = exchange(pairs, end_unit)
     size = int(of.max()) + 1
@@ -249,14 +248,13 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         known = sent.value
         place, head = known.units.mapper(), len(known.units.counts)
         emitted = np.concatenate((np.log10(known.units.counts + DELTA), np.zeros(len(known.units.unit) - head)))
-        end_class = known.class_of[place(END)] if END in known.units.head else 0
+        end_class = known.class_of[place(END)]
+        counted = np.concatenate((known.units.counts > 0, np.zeros(len(known.units.unit) - head, bool))).astype(np.int64)
         for batch in chunks(batches):
             per_doc = [tokens(t) for t in texts(batch)]
             sizes = np.array([len(t) for t in per_doc])
             flat = [t for d in per_doc for t in d]
             at = np.fromiter(map(place, flat), np.int64, len(flat))
-            if END not in known.units.head:
-                at[np.cumsum(sizes) - 1] = len(known.units.unit) - 1
             of = known.class_of[at]
             before = np.concatenate(([end_class], of[:-1]))
             firsts = np.cumsum(sizes) - sizes
@@ -266,7 +264,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             owner = np.repeat(np.arange(len(sizes)), sizes)
             base = np.add.reduceat(own - base_total, firsts)
             total = np.add.reduceat(known.transition[before, of] + own - known.class_total[of], firsts)
-            n_known = np.add.reduceat((at < head).astype(np.int64), firsts)
+            n_known = np.add.reduceat(counted[at], firsts)
             rows, ids, held = batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
             # the document's own sums, under a key that is no word and differs by document
             yield record(PARTS, [b" %d" % r for r in rows], rows, ids, held, [0] * len(rows), pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(total))

@@ -25,7 +25,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED = 50
 #: (bytes from, least ratio, largest ratio) for whole texts.
-BANDS = ((200, 1.05, 4.0), (1_000, 1.25, 5.0), (4_000, 1.4, 6.0), (16_000, 1.5, 8.0))
+BANDS = ((200, 1.1, 4.0), (1_000, 1.4, 5.0), (4_000, 1.45, 6.0), (16_000, 1.5, 8.0))
 #: For a chunk, a full one or a last one of at least half the size.
 CHUNK_BAND = (1.2, 8.0)
 #: Share of chunks that may lie outside.
