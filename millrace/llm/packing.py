@@ -32,11 +32,8 @@ from .tokens import loaded
 CAPACITY = 2048
 END_ID = 0
 #: Rounds of multiplicative weights, and their rate.
-ROUNDS = 300
+ROUNDS = 1500
 RATE = 0.5
-#: Configurations that a round may take beside the best, and how much worse their price may be.
-COLUMNS = 24
-SLACK = 0.1
 
 PIECES = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
 PIECES_DDL = "part int, row long, doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -92,8 +89,7 @@ def traced(last: np.ndarray, room: int) -> np.ndarray:
 def fractional(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
     """Configurations (a row each) and how often each is used, by multiplicative weights; together they cover demand at most.
 
-    Each round prices the lengths by how little of them is covered, and takes the best configuration and those within
-    `SLACK` of it that hold one of the least covered lengths.
+    Each round prices the lengths by how little of them is covered, and uses the best configuration as far as the counts go.
     """
     need = np.flatnonzero(demand)
     covered = np.zeros(capacity + 1)
@@ -104,19 +100,13 @@ def fractional(demand: np.ndarray, capacity: int, rounds: int = ROUNDS, rate: fl
             break
         price = np.zeros(capacity + 1)
         price[need] = need / capacity * np.exp(-rate * (share - share.min())) * (share < 1 - 1e-9)
-        best, last = knapsack(price, capacity)
-        columns = [traced(last, capacity)]
-        for length in need[np.argsort(share, kind="stable")[:COLUMNS]].tolist():
-            if price[length] + best[capacity - length] >= (1 - SLACK) * best[capacity]:
-                columns.append(traced(last, capacity - length))
-                columns[-1][length] += 1
-        for counts in columns:
-            used = np.flatnonzero(counts)
-            times = ((demand[used] - covered[used]) / counts[used]).min()
-            if times > 1e-9:
-                key = counts.astype("<i4").tobytes()
-                found[key] = found.get(key, 0.0) + times
-                covered += counts * times
+        last = knapsack(price, capacity)[1]
+        counts = traced(last, capacity)
+        used = np.flatnonzero(counts)
+        times = ((demand[used] - covered[used]) / counts[used]).min()
+        key = counts.astype("<i4").tobytes()
+        found[key] = found.get(key, 0.0) + times
+        covered += counts * times
     rows = np.array([np.frombuffer(k, "<i4") for k in found], np.int64).reshape(-1, capacity + 1)
     return rows, np.array(list(found.values()))
 
@@ -179,7 +169,7 @@ def solve(demand: np.ndarray, capacity: int = CAPACITY) -> list[tuple[np.ndarray
     for k in np.argsort(-(rows @ lengths), kind="stable") if len(rows) else []:
         used = np.flatnonzero(rows[k])
         copies = int(min(np.floor(times[k]), (left[used] // rows[k][used]).min()))
-        if copies > 0 and rows[k] @ lengths >= capacity * 0.995:
+        if copies > 0 and rows[k] @ lengths >= 0.995 * capacity:
             plan.append((rows[k], copies))
             left -= rows[k] * copies
     while left.any():
