@@ -18,6 +18,7 @@ from ..operators import order as O
 from ..operators import rows as R
 from ..schema import ColumnDef, Schema
 from ..sources import csv as C
+from ..sources import json as N
 from ..sources import tables as S
 from ..streaming import iterate as I
 
@@ -136,6 +137,14 @@ def csv_types_roundtrip(spark, sf_dir):
     return C.read_csv(spark, path, schema, C.CsvRead(separator="|"))
 
 
+@query("SELECT o_orderkey, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def json_roundtrip(spark, sf_dir):
+    """An extension: JSON lines."""
+    path = place(spark)
+    N.write_json(t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority"), path)
+    return N.read_json(spark, path, Schema([ColumnDef("o_orderkey", "long", True), ColumnDef("o_totalprice", "double", True), ColumnDef("o_orderdate", "timestamp", True), ColumnDef("o_orderpriority", "string", True)]))
+
+
 def batch_sizes(spark, batches) -> DataFrame:
     return spark.createDataFrame([(i, b.count()) for i, b in enumerate(batches)], "batch int, n long")
 
@@ -575,6 +584,31 @@ def windowed_counts(spark, sf_dir):
     return I.windowed_counts(t(spark, sf_dir, "events"), "ts", "event_type")
 
 
+@query("SELECT event_type, count(*) AS n, sum(CAST(value > 50 AS BIGINT))::BIGINT AS large FROM events GROUP BY 1")
+def stream_counts(spark, sf_dir):
+    """An extension: counts from micro-batches of files, each batch's partial counts appended once and summed at the end."""
+    events = t(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    files, out = place(spark), place(spark)
+    events.repartition(3, "event_id").write.parquet(files)
+
+    def add(batch: DataFrame, number: int) -> None:
+        counted = batch.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 50).alias("large"))
+        counted.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    I.run_to_end(I.file_stream(spark, files, events.schema), add, place(spark))
+    return spark.read.parquet(out).groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("large").alias("large"))
+
+
+@query("SELECT c_nationkey, o_orderdate, sum(n) OVER (PARTITION BY c_nationkey ORDER BY o_orderdate ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)::BIGINT AS rolling FROM (SELECT c_nationkey, o_orderdate, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)")
+def window_rolling(spark, sf_dir):
+    """An extension: a rolling sum within groups."""
+    left = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderdate")
+    joined = J.join(left, t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), "c_nationkey"), "custkey")
+    days = joined.groupBy("c_nationkey", "o_orderdate").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("c_nationkey").orderBy("o_orderdate").rowsBetween(-6, 0)
+    return days.select("c_nationkey", "o_orderdate", F.sum("n").over(w).alias("rolling"))
+
+
 @query("SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS r, lag(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS before FROM customer")
 def window_rank(spark, sf_dir):
     """An extension: ranks and neighbours within groups."""
