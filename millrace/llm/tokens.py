@@ -19,12 +19,13 @@ MEMO_UNITS = 800_000
 MEMO_CHARS = 64
 
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+MARKS = tuple(",.!?;:")
 PLAIN = re.compile(f"[\n!-~{LETTER}×÷]*")
 ODD = re.compile(f"[^\n -~{LETTER}×÷]")
 CLEAN_SPACE = re.compile(f"(?<=[!-~{LETTER}×÷]) (?=[!-~{LETTER}×÷])")
 #: The patterns of the two pre-tokenizers, over the plain alphabet.
 BYTE_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+")
-WORD_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\s{LETTER}0-9]+")
+WORD_PIECE = re.compile(rf"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[{LETTER}]+|[0-9]|[^\s{LETTER}0-9]+")
 
 
 def byte_alphabet() -> list[str]:
@@ -52,7 +53,7 @@ class Ids:
         self.kind = kind
         self.piece = (BYTE_PIECE if kind == "byte" else WORD_PIECE).findall
         self.shown = {chr(b): x for b, x in enumerate(byte_alphabet()) if b < 128}
-        for c in range(0xC0, 0x100):
+        for c in range(0x80, 0x100):
             self.shown[chr(c)] = "".join(byte_alphabet()[b] for b in chr(c).encode())
         self.table = str.maketrans(self.shown)
         self.pieces: dict[str, bytes] = {}
@@ -72,13 +73,25 @@ class Ids:
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def letters(self, piece: str) -> bytes:
+        """The ids of one piece of the pre-tokenizer."""
+        if self.kind == "word":
+            piece = piece.lower()
+        return packed([t.id for t in self.model.tokenize(piece if piece.isascii() and piece.isalpha() else piece.translate(self.table))])
+
     def unit(self, unit: str) -> bytes:
+        core = unit[1:] if unit[:1] == " " and self.kind == "byte" else unit
+        if core.isalpha() and (core.isascii() or max(core) < "Ā"):
+            return self.letters(unit)
+        # a word with one mark behind it: the mark is a piece of its own
+        if core[-1:] in MARKS and core[:-1].isalpha() and (core.isascii() or max(core) < "Ā"):
+            return self.memo[unit[:-1]] + self.memo[core[-1]]
         if not PLAIN.fullmatch(unit, 1 if unit[:1] == " " and self.kind == "byte" else 0):
             return self.whole(unit)
         out = []
-        for piece in self.piece(unit if self.kind == "byte" else unit.lower()):
+        for piece in self.piece(unit):
             if (found := self.pieces.get(piece)) is None:
-                found = packed([t.id for t in self.model.tokenize(piece if piece.isascii() and piece.isalpha() else piece.translate(self.table))])
+                found = self.letters(piece)
                 if len(piece) <= MEMO_CHARS:
                     if len(self.pieces) >= MEMO_UNITS // 2:
                         self.pieces.clear()
