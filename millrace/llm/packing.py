@@ -8,8 +8,10 @@ knapsack dynamic program over the capacity finds the configuration of the highes
 is rounded down to whole numbers within the counts; what is left is packed by further configurations, each a bounded
 knapsack filled best-fit, largest lengths first, and used as often as the counts allow.
 
-Pieces get places by rank within their length, counted without gathering any length in one task. The plan (length,
-first rank, configuration) is joined back; its size is bounded by the configurations, which the histogram bounds.
+Pieces get places by rank within their length, counted without gathering any length in one task. The plan goes to all
+tasks as sorted steps for each length. Its size depends on the histogram, not on the documents: the program gives at
+most ROUNDS configurations, and a configuration of the rest uses half of what its scarcest length has left, so their
+number grows with the lengths and the logarithm of the counts.
 
 Defined results. Null text is empty: one token, the end id. Repeated rows are separate documents. A null doc_id is
 kept. Empty table: empty result. Other columns are ignored.
@@ -190,24 +192,20 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     demand = np.zeros(capacity + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).toLocalIterator():
         demand[row["length"]] = row["n"]
-    slots: list[tuple[int, int, int, int, int, int]] = []
+    # a length's steps: first rank, pieces in a sequence, first sequence, place of the first piece
+    steps: dict[int, list[tuple[int, int, int, int]]] = {}
     sequence, ranks = 0, np.zeros(capacity + 1, np.int64)
     for config, copies in solve(demand, capacity):
         offset = 0
         for length in np.flatnonzero(config)[::-1].tolist():
             each = int(config[length])
-            slots.append((length, int(ranks[length]), int(ranks[length]) + each * copies, each, sequence, offset))
+            steps.setdefault(length, []).append((int(ranks[length]), each, sequence, offset))
             ranks[length] += each * copies
             offset += each * length
         sequence += copies
-    plan = written(spark.createDataFrame(slots or [(0, 0, 0, 1, 0, 0)], "length int, low long, high long, each long, first long, place long"), "packing-plan")
     # ranks within (part, length), then within length
     ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("part", "length").orderBy("row")) - 1).join(before, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("ahead"))
-    # a length's steps as one sorted array: each piece looks its step up, and no piece meets the other steps
-    steps = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "each", "first", "place"))).alias("steps"))
-
-    table = {r["length"]: [np.array(x, np.int64) for x in zip(*r["steps"], strict=True)] for r in steps.toLocalIterator()}
-    shared = spark.sparkContext.broadcast(table)
+    shared = spark.sparkContext.broadcast({length: np.array(x, np.int64).T for length, x in steps.items()})
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
