@@ -29,7 +29,8 @@ class Agg:
             return F.count(F.lit(1)).cast("int").alias(self.name)
         if self.kind == "count_non_null":
             return F.count(c).cast("long").alias(self.name)
-        kind = df.select(c.alias("c")).schema["c"].dataType
+        # a named column's type is known; only an expression needs an analysis of its own
+        kind = df.schema[self.column].dataType if isinstance(self.column, str) and self.column in df.columns else df.select(c.alias("c")).schema["c"].dataType
         if not isinstance(kind, NUMERIC):
             raise TypeError(f"{self.kind} of a column of type {kind.simpleString()}")
         if self.kind == "sum":
