@@ -42,8 +42,10 @@ PASSES = 6
 DELTA = 0.5
 #: Weight of the class frequencies within the transitions.
 BACK_OFF = 5.0
+#: Bytes of text at a time; its tokens are Python objects of several times their size.
+CHUNK_BYTES = 1 << 20
 #: Distinct words that a task counts before it passes them on.
-HELD_WORDS = 200_000
+HELD_WORDS = 100_000
 
 COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 PAIRS = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
@@ -63,7 +65,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[bytes] = Counter()
-        for batch in chunks(batches):
+        for batch in chunks(batches, CHUNK_BYTES):
             for text in texts(batch):
                 count.update(tokens(text))
             if len(count) >= HELD_WORDS:
@@ -140,7 +142,7 @@ def unit_bigrams(docs: DataFrame, units: Units, end_unit: int) -> np.ndarray:
         known = sent.value
         place = known.mapper()
         total = np.zeros(size * size, np.int64)
-        for batch in chunks(batches):
+        for batch in chunks(batches, CHUNK_BYTES):
             all_tokens = [t for text in texts(batch) for t in tokens(text)]
             unit = known.unit[np.fromiter(map(place, all_tokens), np.int64, len(all_tokens))].astype(np.int64)
             pair, n = np.unique(np.concatenate(([end_unit], unit[:-1])) * size + unit, return_counts=True)
@@ -250,7 +252,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         emitted = np.concatenate((np.log10(known.units.counts + DELTA), np.zeros(len(known.units.unit) - head)))
         end_class = known.class_of[place(END)]
         counted = np.concatenate((known.units.counts > 0, np.zeros(len(known.units.unit) - head, bool))).astype(np.int64)
-        for batch in chunks(batches):
+        for batch in chunks(batches, CHUNK_BYTES):
             per_doc = [tokens(t) for t in texts(batch)]
             sizes = np.array([len(t) for t in per_doc])
             flat = [t for d in per_doc for t in d]
