@@ -14,7 +14,7 @@ import struct
 from collections.abc import Callable
 
 #: Units remembered by a Python worker; beyond that the memo starts anew. Bounds memory, not results.
-MEMO_UNITS = 800_000
+MEMO_UNITS = 500_000
 #: Longer units aren't remembered.
 MEMO_CHARS = 64
 
@@ -93,7 +93,7 @@ class Ids:
             if (found := self.pieces.get(piece)) is None:
                 found = self.letters(piece)
                 if len(piece) <= MEMO_CHARS:
-                    if len(self.pieces) >= MEMO_UNITS // 2:
+                    if len(self.pieces) >= MEMO_UNITS // 10:
                         self.pieces.clear()
                     self.pieces[piece] = found
             out.append(found)
