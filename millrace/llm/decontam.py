@@ -233,7 +233,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, largest_share: float = 0.0) -> DataFrame:
-    """The documents of which at most largest_share of the words are hit, with their own columns."""
+    """The documents of which at most largest_share of the words are hit, with their own columns. Rows of one doc_id go together; a null doc_id names no document, so such rows stay."""
     bad = contamination(docs, items).filter(F.col("n_hit") > F.lit(largest_share) * F.col("n_words")).select("doc_id").distinct()
     return docs.join(written(bad, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
 
