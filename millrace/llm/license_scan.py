@@ -3,7 +3,8 @@
 A text becomes its words joined by single spaces. Rules are regexes over that line, each with a keyword, a label, a
 priority and a confidence. Sentences that only one license has, identifiers, "licensed under ..." forms with and
 without versions, and plain names give several hundred rules, made from the table of licenses below and its forms. A
-text without any licensing word is not looked at further; a rule runs only if its keyword occurs.
+text that holds none of the words that the rules must match (`GATE`, made from the rules) is not looked at further.
+A rule runs only if its keyword occurs.
 
 Detections are resolved in order of their start, longer first, higher priority first: one that lies within the stretch
 already covered is dropped, and so is one that only overlaps it at a lower priority.
@@ -14,14 +15,15 @@ Empty table: empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words without which no rule can match.
-GATE = r" (?:licen[cs]e[ds]?|copyright|copyleft|spdx|cc|cc0|gpl|lgpl|agpl|mit|bsd|warranty|permission|redistribution|unlicense|domain|public|creative|commons) "
 
 #: label: (keyword, name as a regex, versions).
 LICENSES = {
@@ -119,6 +121,70 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     return out
 
 
+def expanded(pattern: str) -> list[str]:
+    """Every string that a regex of plain characters, [classes], (?:groups) and ? matches."""
+
+    def alternatives(i: int) -> tuple[list[str], int]:
+        out, now = [], [""]
+        while i < len(pattern) and pattern[i] != ")":
+            if pattern[i] == "|":
+                out, now, i = out + now, [""], i + 1
+                continue
+            if pattern.startswith("(?:", i):
+                part, i = alternatives(i + 3)
+            elif pattern[i] == "[":
+                end = pattern.index("]", i)
+                part, i = list(pattern[i + 1 : end]), end
+            else:
+                part = [pattern[i]]
+            i += 1
+            if pattern[i : i + 1] == "?":
+                part, i = [*part, ""], i + 1
+            now = [a + b for a in now for b in part]
+        return out + now, i
+
+    return alternatives(0)[0]
+
+
+def least(literals: list[str]) -> list[str]:
+    """The literals (whole words) that hold no other one: one of them occurs wherever one of all does."""
+    out: list[str] = []
+    for x in sorted(set(literals), key=lambda x: (len(x), x)):
+        if not any(f" {y} " in f" {x} " for y in out):
+            out.append(x)
+    return out
+
+
+def must_hold() -> list[list[str]]:
+    """For each of rules(), whole words of which every match holds at least one."""
+    out = []
+    for _, pattern in SENTENCES:
+        plain = re.split(r"\(\?:[^()]*\)(?:\?|\{[^}]*\})?|\[[^\]]*\]\+?", pattern)
+        out.append([max(plain, key=len).strip()])
+    for label, (_, name, versions) in LICENSES.items():
+        names = expanded(name)
+        out.append([f"spdx license identifier {label.replace('-', ' ')}"])
+        out.append(least([f"{word} {n}" for word in ("under", "the", "of") for n in names]))
+        out.append(least([f"{n} {word}" for word in ("license", "licence") for n in names]))
+        out.append(least([f"{word} {n}" for word in ("license", "licence", "is", "the") for n in names]))
+        for version in versions:
+            out += [least(names)] * (1 if version[-1].isdigit() else 2)
+    return out
+
+
+def any_of(literals: list[str]) -> str:
+    """A regex that matches one of the literals, parted by their first characters so that few are tried at a place."""
+    rest = sorted(x for x in literals if x)
+    parts = [re.escape(c) + any_of([x[1:] for x in group]) for c, group in itertools.groupby(rest, key=lambda x: x[0])]
+    if len(parts) == 1 and len(rest) == len(literals):
+        return parts[0]
+    return f"(?:{'|'.join(parts)}){'' if len(rest) == len(literals) else '?'}" if parts else ""
+
+
+#: No rule matches a line that this doesn't match.
+GATE = f" {any_of(least([x for literals in must_hold() for x in literals]))} "
+
+
 def line(text: Column) -> Column:
     """The words of a text, each after a space, and a last space. Lower-casing letters beyond A-Z changes no word's bounds."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), SEPARATORS, " ")), F.lit(" "))

@@ -297,3 +297,44 @@ def test_licenses(spark):
     plan = license_scan.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
     assert license_scan.scan(docs.filter("false")).count() == 0
+
+
+def matching(pattern, rng):
+    """A random string that a rule's regex matches, without the spaces around it."""
+
+    def one(tree):
+        out = ""
+        for op, arg in tree:
+            kind = str(op)
+            if kind == "LITERAL":
+                out += chr(arg)
+            elif kind == "NOT_LITERAL":
+                out += "q"
+            elif kind == "IN":
+                low, high = (arg[0][1], arg[-1][1]) if str(arg[0][0]) == "LITERAL" else arg[0][1]
+                out += chr(rng.choice((low, high)))
+            elif kind == "BRANCH":
+                out += one(rng.choice(arg[1]))
+            elif kind == "SUBPATTERN":
+                out += one(arg[3])
+            elif kind == "MAX_REPEAT":
+                out += "".join(one(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+            else:
+                assert kind == "ASSERT", kind
+        return out
+
+    text = one(re._parser.parse(pattern))
+    assert re.search(pattern, f"{text} ")
+    return text.strip()
+
+
+def test_license_gate_holds_for_every_rule(spark):
+    rng = random.Random(7)
+    for _, pattern, label, *_ in license_scan.rules():
+        for _ in range(60):
+            assert re.search(license_scan.GATE, f" {matching(pattern, rng)} "), (label, pattern)
+    texts = {"released under Apache 2.0": "apache-2.0", "distributed under the terms of the MPL 2.0": "mpl-2.0", "Artistic 2.0": "artistic-2.0", "EPL 1.0": "epl-1.0", "EUPL 1.2": "eupl-1.2", "All rights reserved.": "all-rights-reserved", "Neither the name of X nor the names of its contributors may be used to endorse": "bsd-3-clause", "All advertising materials mentioning features or use of this software must display": "bsd-4-clause"}
+    for before in ("", "public license "):
+        docs = spark.createDataFrame([(i, before + t) for i, t in enumerate(texts)], "doc_id long, text string")
+        out = by_id(license_scan.scan(docs))
+        assert [label in out[i]["labels"].split(",") for i, label in enumerate(texts.values())] == [True] * len(texts), before
