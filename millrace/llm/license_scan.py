@@ -1,10 +1,10 @@
 """License scans by ordered signature rules, with SQL functions only.
 
-A text becomes its words joined by single spaces. Rules are regexes over that line, each with a keyword, a label, a
+A text becomes its words joined by single spaces. Rules are regexes over that line, each with keywords, a label, a
 priority and a confidence. Sentences that only one license has, identifiers, "licensed under ..." forms with and
 without versions, and plain names give several hundred rules, made from the table of licenses below and its forms. A
 text that holds none of the words that the rules must match (`GATE`, made from the rules) is not looked at further.
-A rule runs only if its keyword occurs.
+A rule runs only if one of its keywords occurs.
 
 Detections are resolved in order of their start, longer first, higher priority first: one that lies within the stretch
 already covered is dropped, and so is one that only overlaps it at a lower priority.
@@ -25,61 +25,61 @@ from pyspark.sql import functions as F
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-#: label: (keyword, name as a regex, versions).
+#: label: (name as a regex, versions).
 LICENSES = {
-    "gpl": ("g", "(?:gnu )?(?:general public|gpl)", ("1 0", "2 0", "3 0")),
-    "lgpl": ("l", "(?:gnu )?(?:lesser|library) general public|(?:gnu )?lgpl", ("2 0", "2 1", "3 0")),
-    "agpl": ("a", "(?:gnu )?(?:affero general public|agpl)", ("1 0", "3 0")),
-    "gfdl": ("free documentation", "(?:gnu )?free documentation", ("1 1", "1 2", "1 3")),
-    "apache": ("apache", "apache(?: software)?", ("1 0", "1 1", "2 0")),
-    "mit": ("mit", "mit|expat", ()),
-    "x11": ("x11", "x11", ()),
-    "bsd": ("bsd", "bsd", ("2 clause", "3 clause", "4 clause")),
-    "isc": ("isc", "isc", ()),
-    "mpl": ("m", "mozilla public|mpl", ("1 0", "1 1", "2 0")),
-    "epl": ("e", "eclipse public|epl", ("1 0", "2 0")),
-    "eupl": ("eu", "european union public|eupl", ("1 0", "1 1", "1 2")),
-    "cddl": ("c", "common development and distribution|cddl", ("1 0", "1 1")),
-    "cpl": ("c", "common public|cpl", ("1 0",)),
-    "cpal": ("c", "common public attribution|cpal", ("1 0",)),
-    "artistic": ("artistic", "artistic|perl artistic", ("1 0", "2 0")),
-    "zlib": ("zlib", "zlib|zlib libpng", ()),
-    "libpng": ("libpng", "libpng", ("2 0",)),
-    "boost": ("b", "boost software|bsl", ("1 0",)),
-    "unlicense": ("unlicense", "unlicense", ()),
-    "wtfpl": ("wtf", "do what the fuck you want to public|wtfpl", ("1 0", "2 0")),
-    "cc0": ("cc0", "cc0|creative commons zero", ("1 0",)),
-    "cc-by": ("cc", "cc by|creative commons attribution", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    "cc-by-sa": ("sa", "cc by sa|creative commons attribution share ?alike", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    "cc-by-nc": ("nc", "cc by nc|creative commons attribution non ?commercial", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    "cc-by-nd": ("nd", "cc by nd|creative commons attribution no ?deriv(?:s|atives)", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    "cc-by-nc-sa": ("nc sa", "cc by nc sa", ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    "cc-by-nc-nd": ("nc nd", "cc by nc nd", ("2 0", "2 5", "3 0", "4 0")),
-    "openssl": ("openssl", "openssl", ()),
-    "php": ("php", "php", ("3 0", "3 01")),
-    "python": ("p", "python software foundation|psf", ("2 0",)),
-    "postgresql": ("postgresql", "postgresql", ()),
-    "ruby": ("ruby", "ruby", ()),
-    "ofl": ("o", "sil open font|ofl", ("1 0", "1 1")),
-    "osl": ("o", "open software|osl", ("1 0", "2 0", "2 1", "3 0")),
-    "afl": ("a", "academic free|afl", ("1 1", "1 2", "2 0", "2 1", "3 0")),
-    "qpl": ("q", "q public|qpl", ("1 0",)),
-    "ms-pl": ("m", "microsoft public|ms pl", ()),
-    "ms-rl": ("m", "microsoft reciprocal|ms rl", ()),
-    "ncsa": ("n", "university of illinois ncsa(?: open source)?|ncsa", ()),
-    "odbl": ("o", "open (?:data commons open )?database|odbl", ("1 0",)),
-    "odc-by": ("odc", "odc by|open data commons attribution", ("1 0",)),
-    "pddl": ("pddl", "pddl|open data commons public domain dedication and", ("1 0",)),
-    "vim": ("vim", "vim", ()),
-    "w3c": ("w3c", "w3c(?: software)?", ()),
-    "sleepycat": ("sleepycat", "sleepycat", ()),
-    "ijg": ("jpeg", "independent jpeg group", ()),
-    "curl": ("curl", "curl", ()),
-    "nasa": ("nasa", "nasa open source agreement", ("1 3",)),
-    "ecl": ("educational", "educational community", ("1 0", "2 0")),
-    "sspl": ("s", "server side public|sspl", ("1 0",)),
-    "busl": ("b", "business source|busl", ("1 0", "1 1")),
-    "elastic": ("elastic", "elastic", ("1 0", "2 0")),
+    "gpl": ("(?:gnu )?(?:general public|gpl)", ("1 0", "2 0", "3 0")),
+    "lgpl": ("(?:gnu )?(?:lesser|library) general public|(?:gnu )?lgpl", ("2 0", "2 1", "3 0")),
+    "agpl": ("(?:gnu )?(?:affero general public|agpl)", ("1 0", "3 0")),
+    "gfdl": ("(?:gnu )?free documentation", ("1 1", "1 2", "1 3")),
+    "apache": ("apache(?: software)?", ("1 0", "1 1", "2 0")),
+    "mit": ("mit|expat", ()),
+    "x11": ("x11", ()),
+    "bsd": ("bsd", ("2 clause", "3 clause", "4 clause")),
+    "isc": ("isc", ()),
+    "mpl": ("mozilla public|mpl", ("1 0", "1 1", "2 0")),
+    "epl": ("eclipse public|epl", ("1 0", "2 0")),
+    "eupl": ("european union public|eupl", ("1 0", "1 1", "1 2")),
+    "cddl": ("common development and distribution|cddl", ("1 0", "1 1")),
+    "cpl": ("common public|cpl", ("1 0",)),
+    "cpal": ("common public attribution|cpal", ("1 0",)),
+    "artistic": ("artistic|perl artistic", ("1 0", "2 0")),
+    "zlib": ("zlib|zlib libpng", ()),
+    "libpng": ("libpng", ("2 0",)),
+    "boost": ("boost software|bsl", ("1 0",)),
+    "unlicense": ("unlicense", ()),
+    "wtfpl": ("do what the fuck you want to public|wtfpl", ("1 0", "2 0")),
+    "cc0": ("cc0|creative commons zero", ("1 0",)),
+    "cc-by": ("cc by|creative commons attribution", ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    "cc-by-sa": ("cc by sa|creative commons attribution share ?alike", ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    "cc-by-nc": ("cc by nc|creative commons attribution non ?commercial", ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    "cc-by-nd": ("cc by nd|creative commons attribution no ?deriv(?:s|atives)", ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    "cc-by-nc-sa": ("cc by nc sa", ("1 0", "2 0", "2 5", "3 0", "4 0")),
+    "cc-by-nc-nd": ("cc by nc nd", ("2 0", "2 5", "3 0", "4 0")),
+    "openssl": ("openssl", ()),
+    "php": ("php", ("3 0", "3 01")),
+    "python": ("python software foundation|psf", ("2 0",)),
+    "postgresql": ("postgresql", ()),
+    "ruby": ("ruby", ()),
+    "ofl": ("sil open font|ofl", ("1 0", "1 1")),
+    "osl": ("open software|osl", ("1 0", "2 0", "2 1", "3 0")),
+    "afl": ("academic free|afl", ("1 1", "1 2", "2 0", "2 1", "3 0")),
+    "qpl": ("q public|qpl", ("1 0",)),
+    "ms-pl": ("microsoft public|ms pl", ()),
+    "ms-rl": ("microsoft reciprocal|ms rl", ()),
+    "ncsa": ("university of illinois ncsa(?: open source)?|ncsa", ()),
+    "odbl": ("open (?:data commons open )?database|odbl", ("1 0",)),
+    "odc-by": ("odc by|open data commons attribution", ("1 0",)),
+    "pddl": ("pddl|open data commons public domain dedication and", ("1 0",)),
+    "vim": ("vim", ()),
+    "w3c": ("w3c(?: software)?", ()),
+    "sleepycat": ("sleepycat", ()),
+    "ijg": ("independent jpeg group", ()),
+    "curl": ("curl", ()),
+    "nasa": ("nasa open source agreement", ("1 3",)),
+    "ecl": ("educational community", ("1 0", "2 0")),
+    "sspl": ("server side public|sspl", ("1 0",)),
+    "busl": ("business source|busl", ("1 0", "1 1")),
+    "elastic": ("elastic", ("1 0", "2 0")),
 }
 #: Sentences that tell a license.
 SENTENCES = (
@@ -101,26 +101,6 @@ SENTENCES = (
 )
 
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(keyword, regex, label, priority, confidence) of every rule; a regex ends where a word ends."""
-    out = [(pattern.split("[")[0].split("(")[0].split()[-1] if pattern[0] != "(" else "public domain", f" {pattern}(?= )", label, 9, 1.0) for label, pattern in SENTENCES]
-    under = "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?"
-    tail = "(?: public)?(?: licen[cs]e)?"
-    for label, (keyword, name, versions) in LICENSES.items():
-        name = f"(?:{name})"
-        out.append((keyword, f" spdx license identifier {label.replace('-', ' ')}(?: [0-9]+)*(?: only| or later)?(?= )", label, 8, 1.0))
-        out.append((keyword, f" {under}{name}{tail}(?= )", label, 6, 0.9))
-        out.append((keyword, f" {name} licen[cs]e(?= )", label, 4, 0.8))
-        out.append((keyword, f" licen[cs]e (?:is )?(?:the )?{name}(?= )", label, 3, 0.6))
-        for version in versions:
-            number = f"(?:v|version |v )?{version.replace(' 0', '(?: 0)?') if version.endswith(' 0') else version}"
-            named = f"{label}-{version.replace(' ', '.') if version[-1].isdigit() else version.replace(' ', '-')}"
-            out.append((keyword, f" {name}{tail}(?: version)? {number}(?= )", named, 7, 0.95))
-            if not version[-1].isdigit():
-                out.append((keyword, f" {version} {name}{tail}(?= )", named, 7, 0.95))
-    return out
-
-
 def expanded(pattern: str) -> list[str]:
     """Every string that a regex of plain characters, [classes], (?:groups) and ? matches."""
 
@@ -155,20 +135,32 @@ def least(literals: list[str]) -> list[str]:
     return out
 
 
-def must_hold() -> list[list[str]]:
-    """For each of rules(), whole words of which every match holds at least one."""
+def rules() -> list[tuple[list[str], str, str, int, float]]:
+    """(keywords, regex, label, priority, confidence) of every rule; a regex ends where a word ends.
+
+    Keywords are whole words; every match of the rule holds those of at least one of its keywords.
+    """
     out = []
-    for _, pattern in SENTENCES:
+    for label, pattern in SENTENCES:
         plain = re.split(r"\(\?:[^()]*\)(?:\?|\{[^}]*\})?|\[[^\]]*\]\+?", pattern)
-        out.append([max(plain, key=len).strip()])
-    for label, (_, name, versions) in LICENSES.items():
+        out.append(([max(plain, key=len).strip()], f" {pattern}(?= )", label, 9, 1.0))
+    under = "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?"
+    tail = "(?: public)?(?: licen[cs]e)?"
+    for label, (name, versions) in LICENSES.items():
         names = expanded(name)
-        out.append([f"spdx license identifier {label.replace('-', ' ')}"])
-        out.append(least([f"{word} {n}" for word in ("under", "the", "of") for n in names]))
-        out.append(least([f"{n} {word}" for word in ("license", "licence") for n in names]))
-        out.append(least([f"{word} {n}" for word in ("license", "licence", "is", "the") for n in names]))
+        after = lambda *words: least([f"{w} {n}" for w in words for n in names])  # noqa: E731, B023
+        before = lambda *words: least([f"{n} {w}" for w in words for n in names])  # noqa: E731, B023
+        name, own = f"(?:{name})", label.replace("-", " ")
+        out.append(([f"spdx license identifier {own}"], f" spdx license identifier {own}(?: [0-9]+)*(?: only| or later)?(?= )", label, 8, 1.0))
+        out.append((after("under", "the", "of"), f" {under}{name}{tail}(?= )", label, 6, 0.9))
+        out.append((before("license", "licence"), f" {name} licen[cs]e(?= )", label, 4, 0.8))
+        out.append((after("license", "licence", "is", "the"), f" licen[cs]e (?:is )?(?:the )?{name}(?= )", label, 3, 0.6))
         for version in versions:
-            out += [least(names)] * (1 if version[-1].isdigit() else 2)
+            number = f"(?:v|version |v )?{version.replace(' 0', '(?: 0)?') if version.endswith(' 0') else version}"
+            named = f"{label}-{version.replace(' ', '.') if version[-1].isdigit() else version.replace(' ', '-')}"
+            out.append((least(names), f" {name}{tail}(?: version)? {number}(?= )", named, 7, 0.95))
+            if not version[-1].isdigit():
+                out.append((least(names), f" {version} {name}{tail}(?= )", named, 7, 0.95))
     return out
 
 
@@ -182,7 +174,7 @@ def any_of(literals: list[str]) -> str:
 
 
 #: No rule matches a line that this doesn't match.
-GATE = f" {any_of(least([x for literals in must_hold() for x in literals]))} "
+GATE = f" {any_of(least([x for keywords, *_ in rules() for x in keywords]))} "
 
 
 def line(text: Column) -> Column:
@@ -195,11 +187,11 @@ def spaces(text: Column) -> Column:
 
 
 def rule_table() -> Column:
-    return F.array(*(F.struct(F.lit(k).alias("keyword"), F.lit(r).alias("regex"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(c).alias("confidence")) for k, r, label, p, c in rules()))
+    return F.array(*(F.struct(F.array(*(F.lit(f"{x} ") for x in k)).alias("keywords"), F.lit(r).alias("regex"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(c).alias("confidence")) for k, r, label, p, c in rules()))
 
 
 def detections(words: Column) -> Column:
-    """All matches of all rules whose keyword occurs: (start, minus_end, minus_priority, label, confidence), in order."""
+    """All matches of all rules of which a keyword occurs: (start, minus_end, minus_priority, label, confidence), in order."""
 
     def of(rule: Column) -> Column:
         matches = F.regexp_extract_all(words, rule["regex"], F.lit(0))
@@ -213,7 +205,7 @@ def detections(words: Column) -> Column:
 
         return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda state: state["out"])
 
-    live = F.filter(rule_table(), lambda rule: F.contains(words, rule["keyword"]))
+    live = F.filter(rule_table(), lambda rule: F.exists(rule["keywords"], lambda k: F.contains(words, k)))
     return F.array_sort(F.flatten(F.transform(F.filter(live, lambda rule: F.rlike(words, rule["regex"])), of)))
 
 

@@ -338,3 +338,31 @@ def test_license_gate_holds_for_every_rule(spark):
         docs = spark.createDataFrame([(i, before + t) for i, t in enumerate(texts)], "doc_id long, text string")
         out = by_id(license_scan.scan(docs))
         assert [label in out[i]["labels"].split(",") for i, label in enumerate(texts.values())] == [True] * len(texts), before
+
+
+def all_labels(text):
+    """The labels by all rules, without gate or keywords."""
+    line = f" {' '.join(WORD.findall(text.translate(ASCII)))} "
+    found = sorted((m.start(), -m.end(), -p, label, c) for _, r, label, p, c in license_scan.rules() for m in re.finditer(r, line))
+    end = priority = 0
+    labels = {label for phrase, label in license_scan.PHRASES.items() if f" {phrase} " in line}
+    for start, minus_end, minus_priority, label, _ in found:
+        if not (-minus_end <= end or (start < end and -minus_priority < priority)):
+            end, priority = -minus_end, -minus_priority
+            labels.add(label)
+    return labels
+
+
+def test_license_keywords_lose_no_rule(spark):
+    rng = random.Random(9)
+    for keywords, pattern, label, *_ in license_scan.rules():
+        for _ in range(60):
+            text = f" {matching(pattern, rng)} "
+            assert any(f"{k} " in text for k in keywords), (label, text)
+    told = {"Licensed under the Creative Commons Attribution 4.0 International License": "cc-by", "Creative Commons Attribution Share Alike 4.0": "cc-by-sa-4.0", "under the Creative Commons Zero license": "cc0", "Creative Commons Attribution NonCommercial 3.0": "cc-by-nc-3.0", "Creative Commons Attribution No Derivatives 2.5": "cc-by-nd-2.5", "Expat License": "mit", "Do what the fuck you want to public license, version 2": "wtfpl-2.0", "Open Data Commons Attribution License": "odc-by", "SPDX-License-Identifier: ECL-2.0": "ecl", "SPDX-License-Identifier: GFDL-1.3-or-later": "gfdl", "SPDX-License-Identifier: IJG": "ijg"}
+    texts = [*told, *(matching(pattern, rng) for _, pattern, *_ in license_scan.rules())]
+    out = by_id(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for i, text in enumerate(texts):
+        labels = set(filter(None, out[i]["labels"].split(",")))
+        assert labels == all_labels(text), text
+        assert any(x == told.get(text, x) or x.startswith(told.get(text, x) + "-") for x in labels), (text, labels)
