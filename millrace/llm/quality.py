@@ -1,7 +1,7 @@
 """Quality rules with compression bands.
 
 Next to counting rules, a text's zstandard ratio (bytes over compressed bytes, level `LEVEL`) must lie within a band for
-its length, as a whole and in each chunk of `CHUNK` bytes: far too compressible is repetitive, hardly compressible is
+its length, as a whole and in each chunk of `CHUNK` bytes, the last and shorter one too: far too compressible is repetitive, hardly compressible is
 noise. Short texts compress less, so a band holds for a range of lengths; texts below the first range have no band.
 
 Defined results. Null text has no words and fails (base_failed: fewer than 50 words). Repeated rows each give a row.
@@ -24,10 +24,8 @@ CHUNK = 4096
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED = 50
-#: (bytes from, least ratio, largest ratio) for whole texts.
+#: (bytes from, least ratio, largest ratio), for whole texts and for chunks.
 BANDS = ((200, 1.1, 4.0), (1_000, 1.4, 5.0), (4_000, 1.45, 6.0), (16_000, 1.5, 8.0))
-#: For a chunk, a full one or a last one of at least half the size.
-CHUNK_BAND = (1.2, 8.0)
 #: Share of chunks that may lie outside.
 CHUNKS_OUTSIDE = 0.25
 
@@ -65,6 +63,10 @@ def duplicate_lines(raw: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def band_of(size: int) -> tuple[int, float, float] | None:
+    return next((b for b in reversed(BANDS) if size >= b[0]), None)
+
+
 def ratios(raw: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, int, int]:
     """The whole text's ratio, and how many of how many judged chunks lie outside their band."""
     whole = len(raw) / max(1, len(compressor.compress(raw))) if raw else 0.0
@@ -72,15 +74,15 @@ def ratios(raw: bytes, compressor: zstandard.ZstdCompressor) -> tuple[float, int
     if len(raw) > CHUNK:
         for i in range(0, len(raw), CHUNK):
             part = raw[i : i + CHUNK]
-            if 2 * len(part) >= CHUNK:
+            if band := band_of(len(part)):
                 judged += 1
-                outside += not CHUNK_BAND[0] <= len(part) / len(compressor.compress(part)) <= CHUNK_BAND[1]
+                outside += not band[1] <= len(part) / len(compressor.compress(part)) <= band[2]
     return whole, outside, judged
 
 
 def verdict(size: int, whole: float, outside: int, judged: int) -> str | None:
     """Why the method rejects a text of size bytes; None if it doesn't."""
-    band = next((b for b in reversed(BANDS) if size >= b[0]), None)
+    band = band_of(size)
     if band and whole > band[2]:
         return "repetitive"
     if band and whole < band[1]:

@@ -366,3 +366,17 @@ def test_license_keywords_lose_no_rule(spark):
         labels = set(filter(None, out[i]["labels"].split(",")))
         assert labels == all_labels(text), text
         assert any(x == told.get(text, x) or x.startswith(told.get(text, x) + "-") for x in labels), (text, labels)
+
+
+def test_quality_judges_chunks_by_their_own_band(spark):
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    known = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(2, 9))) for _ in range(900)]
+    prose = lambda n: " ".join(rng.choices(known, k=n))
+    noise = lambda n: "".join(rng.choice(letters) + (" " if i % 76 == 75 else "") for i in range(n))
+    # lines of one form with running numbers: no three words repeat, yet a chunk compresses over six times
+    lines = lambda n: "".join(f"the-same-long-line-over-and-over-again-with-nothing-new-in-it-but-a-number {i}\n" for i in range(n))
+    texts = [prose(6000), prose(2000) + " " + noise(14_000), prose(4000)[:16_384] + " " + lines(130), (prose(1000)[:4096] + noise(2000))[:5900]]
+    out = by_id(quality.assess(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert out[0]["reason"] is None and out[0]["chunks_outside"] == 0
+    assert [out[i]["reason"] for i in (1, 2, 3)] == ["chunks"] * 3
