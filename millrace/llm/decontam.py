@@ -6,8 +6,10 @@ Places count through the segment, with a gap between documents, so that no phras
 test vocabulary are stored: no other can take part in a match.
 
 `search` intersects, for each window of an item, the place lists of its terms, each shifted by the term's offset, from
-the rarest term on; what is left are exact phrase matches. For proximity, the item's rarest terms must all lie within
-`SLOP` words of a place of the rarest. Segments are searched where they lie; nothing is shuffled. Items come in blocks
+the rarest term on; what is left are exact phrase matches. For proximity, a document must hold at least `NEAR_SHARE` of
+the item's distinct terms, and of those that it holds, the `NEAR_TERMS` rarest (by counts over all documents, ties by term)
+must lie within `SLOP` words of a place of the one that the document has least often. A document's matches thus depend on
+its own words and on those counts, not on the segment it is in. Segments are searched where they lie; nothing is shuffled. Items come in blocks
 of at most `BLOCK_WORDS` words, which bounds what is broadcast; hits of several blocks are united by document.
 
 Defined results. Null text has no words (n_words 0, clean). Items that are null or have no word never match. Repeated
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +34,7 @@ from .common import chunks, record, texts, written
 WINDOW = 10
 SLOP = 20
 NEAR_TERMS = 4
+NEAR_SHARE = 0.8
 SEGMENT_BYTES = 4 << 20
 BLOCK_WORDS = 500_000
 
@@ -39,6 +43,7 @@ WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x
 
 SEGMENT = pa.schema([("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.binary()), ("terms", pa.list_(pa.binary())), ("list_starts", pa.binary()), ("places", pa.binary())])
 SEGMENT_DDL = "doc_ids array<long>, doc_starts binary, terms array<binary>, list_starts binary, places binary"
+COUNTS = pa.schema([("term", pa.binary()), ("n", pa.int64())])
 HITS = pa.schema([("segment_row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
 HITS_DDL = "segment_row long, doc_id long, n_words long, runs array<long>, items array<string>, near_items array<string>"
 
@@ -133,13 +138,51 @@ def near(lists: list[np.ndarray], slop: int) -> np.ndarray:
     return at
 
 
+def term_counts(index: DataFrame) -> dict[bytes, int]:
+    """How often each stored term occurs in all documents; the items' block bounds the terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield record(COUNTS, row["terms"], pa.array(np.diff(np.frombuffer(row["list_starts"], "<u4").astype(np.int64))))
+
+    counted = index.select("terms", "list_starts").mapInArrow(run, "term binary, n long")
+    return {bytes(r["term"]): r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
+
+
+def near_documents(ranked: list[bytes], lists: dict[bytes, np.ndarray], docs: dict[bytes, np.ndarray], starts: np.ndarray) -> list[int]:
+    """Documents of a segment with a match by proximity; ranked: an item's distinct terms, rarest first, docs: the documents of each term."""
+    need = math.ceil(NEAR_SHARE * len(ranked) - 1e-9)
+    there = [t for t in ranked if t in lists]
+    if not there or len(there) < need:
+        return []
+    held = np.zeros(len(starts) - 1, np.int32)
+    for t in there:
+        held[docs[t]] += 1
+    out = []
+    for d in np.flatnonzero(held >= need).tolist():
+        rare = []
+        for t in there:
+            i, j = np.searchsorted(lists[t], starts[d : d + 2])
+            if i < j:
+                rare.append(lists[t][i:j])
+                if len(rare) == NEAR_TERMS:
+                    break
+        if len(near(rare, SLOP)):
+            out.append(d)
+    return out
+
+
 def search(index: DataFrame, items: list[Item], proximity: bool = True) -> DataFrame:
     """For each document its hits: runs (start, end, start, end, ...) of hit words, items with an exact match, items with a match by proximity."""
-    sent = index.sparkSession.sparkContext.broadcast(items)
+    counts = term_counts(index) if proximity else {}
+    ranked = [sorted(set(item.terms), key=lambda t: (counts.get(t, 0), t)) for item in items] if proximity else []
+    sent = index.sparkSession.sparkContext.broadcast((items, ranked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_window: dict[tuple, list[str]] = {}
-        for item in sent.value:
+        known, by_rank = sent.value
+        for item in known:
             for w in item.windows:
                 by_window.setdefault(w, []).append(item.name)
         for batch in batches:
@@ -161,14 +204,12 @@ def search(index: DataFrame, items: list[Item], proximity: bool = True) -> DataF
                         np.add.at(edge, at + len(window), -1)
                         for d in np.unique(np.searchsorted(starts, at, side="right") - 1).tolist():
                             exact[d].update(names)
-                for item in sent.value if proximity else ():
-                    terms = [t for t in dict.fromkeys(item.terms) if t in lists]
-                    if not terms or len(terms) < len(set(item.terms)):
-                        continue
-                    rare = sorted(terms, key=lambda t: (len(lists[t]), t))[:NEAR_TERMS]
-                    at = near([lists[t] for t in rare], SLOP)
-                    for d in np.unique(np.searchsorted(starts, at, side="right") - 1).tolist():
-                        close[d].add(item.name)
+                if proximity:
+                    owner = np.searchsorted(starts, flat, side="right") - 1
+                    docs = {t: owner[i:j][np.diff(owner[i:j], prepend=-1) > 0] for t, i, j in zip(row["terms"], cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)}
+                    for item, terms in zip(known, by_rank, strict=True):
+                        for d in near_documents(terms, lists, docs, starts):
+                            close[d].add(item.name)
                 hit = np.cumsum(edge) > 0
                 turn = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
                 owner = np.searchsorted(starts, turn[::2], side="right") - 1
@@ -218,10 +259,10 @@ def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, proximity: bool
     return united.join(tagged.select("doc_id", "own_id"), "doc_id").drop("doc_id").withColumnRenamed("own_id", "doc_id")
 
 
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items."""
+def contamination(docs: DataFrame, items: DataFrame, proximity: bool = True) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items (0 without proximity)."""
     runs = F.expr("aggregate(sequence(0, cast(size(runs) / 2 as int)), 0L, (s, i) -> if(i * 2 < size(runs), s + runs[i * 2 + 1] - runs[i * 2], s))")
-    return hits(docs, items).select(
+    return hits(docs, items, proximity=proximity).select(
         "doc_id",
         "n_words",
         runs.alias("n_hit"),
@@ -234,7 +275,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, largest_share: float = 0.0) -> DataFrame:
     """The documents of which at most largest_share of the words are hit, with their own columns. Rows of one doc_id go together; a null doc_id names no document, so such rows stay."""
-    bad = contamination(docs, items).filter(F.col("n_hit") > F.lit(largest_share) * F.col("n_words")).select("doc_id").distinct()
+    bad = contamination(docs, items, proximity=False).filter(F.col("n_hit") > F.lit(largest_share) * F.col("n_words")).select("doc_id").distinct()
     return docs.join(written(bad, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
 
 

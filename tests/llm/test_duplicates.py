@@ -230,3 +230,16 @@ def test_stages_take_empty_tables_and_clashing_columns(spark):
             columns, now = now.columns, stage(spark, now, SF)
             assert now.columns == columns or name == "packing"
         assert now.count() >= 0
+
+
+@pytest.mark.parametrize("room", [500_000, 15])
+def test_proximity_does_not_depend_on_the_segments(spark, room, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", room)
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    replaced = passage.replace("beta", "new")
+    texts = [passage, replaced, "some other words", "x " * 3000 + replaced, "x alpha beta gamma delta epsilon", "zeta eta theta iota kappa x", "alpha beta gamma delta " + "x " * 60 + "epsilon zeta eta theta iota kappa", "new new beta", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([("i", passage), ("j", "other words that never come up in any of these"), ("k", "red green blue")], "item_id string, text string")
+    for parts in (1, 3, 40):
+        out = {r["doc_id"]: r["near_items"] for r in decontam.hits(docs.repartition(parts, "doc_id") if parts > 1 else docs.coalesce(1), items).collect()}
+        assert out == {i: ["i"] if i in (0, 1, 3) else [] for i in range(len(texts))}, parts
