@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +46,26 @@ def sorted_ids(df: DataFrame, row_id: str, *names: str, ascending: bool | Sequen
     return order_by(df, *names, row_id, ascending=([ascending] * len(names) if isinstance(ascending, bool) else list(ascending)) + [True]).select(row_id)
 
 
+def with_place(df: DataFrame, *names: str, ascending: bool | Sequence[bool] = True, place: str = "place") -> DataFrame:
+    """Adds each row's place in an order, from 1, as a long; names: columns that tell all rows apart.
+
+    Rows are ranged by the order, numbered within each partition, and moved by the sizes of the partitions before. The
+    ranged rows are kept on disk, so that both uses see the same ranges.
+    """
+    up = [ascending] * len(names) if isinstance(ascending, bool) else list(ascending)
+    if not names or len(up) != len(names):
+        raise ValueError("a direction for each of one or more columns is needed")
+    if place in df.columns:
+        raise ValueError(f"column {place!r} exists")
+    keys = sort_keys(df, names, up)
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(count, *keys).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*keys))
+    return ranged.withColumn("__rank", rank).join(F.broadcast(before), "__part").select(*map(quoted, df.columns), (F.col("__before") + F.col("__rank")).cast("long").alias(place))
+
+
 def smallest(df: DataFrame, n: int, name: str, *ties: str) -> DataFrame:
     """The n rows of the smallest values, sorted; rows without a value don't take part. ties: columns that decide among equals."""
     return top(df, n, name, ties, True)

@@ -506,6 +506,24 @@ def order_string_desc(spark, sf_dir):
     return numbered(df, "c_name", "c_custkey", ascending=False).select("c_custkey", "place")
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders")
+def order_multi_dir_all(spark, sf_dir):
+    """Every row with its place; order_multi_dir is the first 50."""
+    df = t(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice", "o_orderkey")
+    return O.with_place(df, "o_orderpriority", "o_totalprice", "o_orderkey", ascending=[True, False, True]).select("o_orderkey", "place")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY size ASC NULLS FIRST, p_partkey) AS place FROM (SELECT p_partkey, NULLIF(p_size, 10) AS size FROM part)")
+def order_nulls_all(spark, sf_dir):
+    df = t(spark, sf_dir, "part").select("p_partkey", F.nullif("p_size", F.lit(10)).alias("size"))
+    return O.with_place(df, "size", "p_partkey").select("p_partkey", "place")
+
+
+@query("SELECT c_custkey, row_number() OVER (ORDER BY c_name DESC, c_custkey DESC) AS place FROM customer")
+def order_string_desc_all(spark, sf_dir):
+    return O.with_place(t(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", "c_custkey", ascending=False).select("c_custkey", "place")
+
+
 @query("SELECT event_id FROM events ORDER BY value, event_id")
 def sorted_ids(spark, sf_dir):
     return O.sorted_ids(t(spark, sf_dir, "events"), "event_id", "value")

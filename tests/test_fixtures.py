@@ -299,3 +299,16 @@ def test_inspect(spark):
     text = M.inspect(df, 2)
     assert "<int>" in text and "null" in text and text.endswith("... (1 more rows)")
     assert M.shape(df) == (3, 2) and M.has_column(df, "Id") and not M.has_column(df, "id") and isinstance(M.column_type(df, "Id"), T.IntegerType) and M.column_names(df) == ["Id", "Name"]
+
+
+def test_places_of_all_rows(spark):
+    rows = [(i, None if i % 11 == 0 else float("nan") if i % 7 == 0 else float(i % 5)) for i in range(500)]
+    key = lambda r: (r[1] is not None, r[1] is not None and r[1] == r[1], r[1] if r[1] is not None and r[1] == r[1] else 0.0)
+    df = spark.createDataFrame(rows, "k long, v double")
+    want = {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (key(r), -r[0])), 1)}
+    assert {r["k"]: r["place"] for r in O.with_place(df, "v", "k", ascending=[True, False]).collect()} == want
+    want = {r[0]: n for n, r in enumerate(sorted(sorted(rows, key=lambda r: r[0]), key=key, reverse=True), 1)}
+    down = O.with_place(df, "v", "k", ascending=[False, True])
+    assert O.with_place(df.filter("false"), "v", "k").count() == 0
+    assert {r["k"]: r["place"] for r in down.collect()} == want
+    assert "TakeOrdered" not in down._jdf.queryExecution().executedPlan().toString()
