@@ -1,14 +1,16 @@
 """Secret scans with SQL functions only.
 
 Three kinds of spans come from patterns: `assign` (a name for a secret, a separator, a value), `access` (access key
-ids) and `hex` (long hexadecimal runs). A fourth, `entropy`, comes from candidate strings, the runs of `CANDIDATE`: a window
-slides over a candidate, its character counts are kept up to date as one character enters and one leaves, and the sum
-of n * log2(n) with them, so each step's Shannon entropy is log2(W) - sum / W. A candidate of a character class (hex,
-one case with digits, mixed) is a span if its best window reaches the class's threshold, unless the allow-list knows its form or
-it overlaps a span of the patterns.
+ids) and `hex` (long hexadecimal runs). A fourth, `entropy`, comes from candidate strings, the runs of `CANDIDATE` in what the
+patterns' spans leave of the text: a window slides over a candidate, and as one character enters and one leaves, two of
+its character counts change, and with them the sum of n * log2(n), so each step's Shannon entropy is log2(W) - sum / W.
+The counts are bit fields of a few integers, so a step costs the same whatever the candidate's length. A candidate of a
+character class (hex, one case with digits, mixed) is a span if its best window reaches the class's threshold, unless
+the allow-list knows its form.
 
 Positions are code points, ends exclusive. Spans are found from a pattern's matches and the gaps between them, so that
-everything stays one projection: no join, no shuffle.
+everything stays one projection: no join, no shuffle. Work grows with the text and the number of matches; sums over
+matches run in blocks, since an array that grows by one element is copied each time.
 
 Defined results. Null text is empty: no spans. Repeated rows each give a row. A null doc_id is kept. Empty table: empty
 result. Other columns are ignored; redacted() keeps them.
@@ -17,6 +19,7 @@ result. Other columns are ignored; redacted() keeps them.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,61 +32,149 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: What a text with a candidate that has a digit matches; tried only where a run of its characters begins, so that long runs cost once.
+LIKELY = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
 WINDOW = 20
 #: Least entropy of a candidate's best window, by its character class; the most possible is log2(20) = 4.32.
 THRESHOLDS = {"hex": 3.0, "single": 3.5, "mixed": 3.8}
 #: Forms that aren't secrets: UUIDs, words joined by signs, paths, sample values, runs of the alphabet or the digits, dates and times.
 ALLOWED = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"^[A-Z]?[a-z]*(?:[-_/+=]+[A-Z]?[a-z]*)*[0-9]{0,4}$",
-    r"^(?:/?[A-Za-z]+[0-9]{0,3})(?:/[A-Za-z_-]+[0-9]{0,3})+/?$",
+    r"^[A-Z]?[a-z]*+(?:[-_/+=]++[A-Z]?[a-z]*+)*+[0-9]{0,4}$",
+    r"^(?:/?[A-Za-z]++[0-9]{0,3})(?:/[A-Za-z_-]++[0-9]{0,3})++/?$",
     r"(?i)example|sample|placeholder|changeme|dummy|xxxx",
     r"(?i)abcdefgh|0123456789|1234567890|qwertyuiop",
-    r"^[0-9][0-9_/+=-]*$",
+    r"^[0-9][0-9_/+=-]*+$",
     r"(.)\1{7}",
 )
 MASK = "[SECRET]"
 
+SPANS = "array<struct<start:int,rank:int,end:int>>"
+#: Matches whose sums are made in one go.
+BLOCK = 256
+#: Characters of a candidate are counted in fields of FIELD bits, FIELDS of them in a long integer, for the codes from FIRST_CODE on.
+FIELD, FIELDS, FIRST_CODE, LAST_CODE = 5, 12, ord("+"), ord("z")
+#: n * log2(n) of each count that a window can hold, as whole numbers of 2 ** -UNIT_BITS, so that sums are exact however long they run.
+UNIT_BITS = 40
+N_LOG_N = tuple(round(n * math.log2(n) * 2**UNIT_BITS) if n else 0 for n in range(WINDOW + 1))
 
-def found(text: Column, pattern: str, rank: int, keep: tuple[int, int] | None = None) -> Column:
-    """Spans (start, rank, end) of a pattern's matches; keep: a group and its least length."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(keep[0])) if keep else matches
-    gaps = F.split(text, pattern, -1)
-    lengths = F.zip_with(F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"))), values, lambda p, v: F.struct(p["gap"].alias("gap"), p["size"].alias("size"), F.length(v).alias("value")))
-    none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + x["size"]).alias("end")))
-        kept = F.when(x["value"] >= keep[1], F.concat(state["spans"], span)).otherwise(state["spans"]) if keep else F.concat(state["spans"], span)
-        return F.struct((start + x["size"]).alias("at"), kept.alias("spans"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    spans = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda state: state["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(none)
 
+def running(values: Column, join: Callable[[Column, Column], Column], start: Column) -> Column:
+    """For an array the results of joining start with no value, with the first, with the first two, and so on (one more than there are values)."""
 
-def n_log_n(n: Column) -> Column:
-    return F.when(n > 1, n * F.log2(n)).otherwise(0.0)
+    def grown(part: Column) -> Column:
+        return F.aggregate(part, F.array(start), lambda out, x: F.concat(out, F.array(join(F.element_at(out, -1), x))))
+
+    def of(all_values: Column) -> Column:
+        starts = F.when(F.size(all_values) > 0, F.sequence(F.lit(1), F.size(all_values), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        parts = F.transform(starts, lambda i: grown(F.slice(all_values, i, F.lit(BLOCK))))
+
+        def put_together(inner: Column) -> Column:
+            return let(
+                grown(F.transform(inner, lambda p: F.element_at(p, -1))),
+                lambda ahead: F.concat(F.flatten(F.zip_with(inner, F.slice(ahead, 1, F.size(inner)), lambda p, a: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x: join(a, x)))), F.array(F.element_at(ahead, -1))),
+            )
+
+        return let(parts, put_together)
+
+    return let(values, of)
+
+
+def plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def places(text: Column, pattern: str) -> Column:
+    """Of a pattern's matches: (start, end, value)."""
+
+    def of(matches: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
+        steps = F.zip_with(gaps, matches, lambda g, m: F.length(g) + F.length(m))
+        return F.zip_with(matches, F.slice(running(steps, plus, F.lit(0)), 2, F.size(matches)), lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("value")))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
+
+
+def found(text: Column, pattern: str, rank: int, least: int = 0) -> Column:
+    """Spans (start, rank, end) of a pattern's matches, of those whose second group has the least length if one is given."""
+    matches = places(text, pattern)
+    if least:
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
+        matches = F.filter(F.zip_with(matches, values, lambda m, v: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.length(v).alias("held"))), lambda m: m["held"] >= least)
+    spans = F.transform(matches, lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end")))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPANS))
+
+
+def replaced(text: Column, spans: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """The text with by(span, at) in place of each of its spans, which are in order; at: where the spans before it end.
+
+    The text is cut as four-byte characters, whose places need no search.
+    """
+
+    def of(wide: Column) -> Column:
+        cut = lambda start, size: F.decode(F.substring(wide, start * 4 + 1, F.greatest(size, F.lit(0)) * 4), "UTF-32")
+
+        def with_ends(ends: Column) -> Column:
+            parts = F.zip_with(spans, F.slice(ends, 1, F.size(spans)), lambda s, at: F.concat(cut(at, s["start"] - at), by(s, at)))
+            return F.concat(F.array_join(parts, ""), F.decode(F.substring(wide, F.element_at(ends, -1) * 4 + 1, F.length(wide)), "UTF-32"))
+
+        return let(running(F.transform(spans, lambda s: s["end"]), F.greatest, F.lit(0)), with_ends)
+
+    return let(F.encode(text, "UTF-32"), of)
+
+
+def blanks(span: Column, at: Column) -> Column:
+    """As many spaces as the span covers characters that those before it don't."""
+    return F.repeat(F.lit(" "), F.greatest(span["end"] - F.greatest(span["start"], at), F.lit(0)))
 
 
 def best_entropy(candidate: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits, of a window sliding over an ASCII string."""
-    code = lambda i: F.ascii(F.substring(candidate, i, 1))
+    """The highest Shannon entropy, in bits, of a window sliding over a string of the characters of CANDIDATE (0 if it is shorter than a window).
+
+    `longs` hold the window's character counts; entering and leaving touch one field each.
+    """
+    longs = -(-(LAST_CODE - FIRST_CODE + 1) // FIELDS)
+    table = F.array(*(F.lit(x).cast("long") for x in N_LOG_N))
+
+    def moved(state: Column, code: Column, sign: int) -> Column:
+        """The state with one more (or one less) of a character."""
+
+        def of(at: Column) -> Column:
+            shift = (at["code"] % FIELDS) * FIELD
 
-    def step(state: Column, i: Column) -> Column:
-        enters = code(i)
-        leaves = F.when(i > window, code(i - window)).otherwise(-1)
-        before = F.get(state["n"], enters)
-        grown = state["sum"] + n_log_n(before + 1) - n_log_n(before)
-        going = F.coalesce(F.get(state["n"], leaves), F.lit(0)) + F.when(leaves == enters, 1).otherwise(0)
-        total = F.when(leaves < 0, grown).otherwise(grown - n_log_n(going) + n_log_n(going - 1))
-        counts = F.transform(state["n"], lambda n, c: n + F.when(c == enters, 1).otherwise(0) - F.when(c == leaves, 1).otherwise(0))
-        best = F.when(i >= window, F.greatest(state["best"], F.lit(math.log2(window)) - total / window)).otherwise(state["best"])
-        return F.struct(counts.alias("n"), total.alias("sum"), best.alias("best"))
+            def changed(n: Column) -> Column:
+                count = n["count"]
+                fields = [F.when(at["word"] == k, state[f"c{k}"] + F.lit(sign).cast("long") * n["one"]).otherwise(state[f"c{k}"]).alias(f"c{k}") for k in range(longs)]
+                total = state["sum"] + F.get(table, count + sign) - F.get(table, count)
+                return F.struct(*fields, total.alias("sum"), state["least"].alias("least"))
 
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(candidate)), start, step, lambda state: state["best"])
+            held = F.element_at(F.array(*(state[f"c{k}"] for k in range(longs))), at["word"] + 1)
+            count = F.call_function("shiftrightunsigned", held, shift).bitwiseAND(F.lit((1 << FIELD) - 1).cast("long")).cast("int")
+            return let(F.struct(count.alias("count"), F.call_function("shiftleft", F.lit(1).cast("long"), shift).alias("one")), changed)
+
+        return let(F.struct(code.alias("code"), F.floor(code / FIELDS).cast("int").alias("word")), of)
+
+    def of(raw: Column) -> Column:
+        # bytes are found by their place, where the characters of a string would be counted from its start
+        code = lambda i: F.ascii(F.substring(raw, i, 1).cast("string")) - FIRST_CODE
+
+        def step(state: Column, i: Column) -> Column:
+            left = F.when(i > window, let(state, lambda s: moved(s, code(i - window), -1))).otherwise(state)
+            entered = let(left, lambda s: moved(s, code(i), 1))
+            least = lambda s: F.when((i >= window) & (s["sum"] < s["least"]), s["sum"]).otherwise(s["least"])
+            return let(entered, lambda s: F.struct(*(s[f"c{k}"].alias(f"c{k}") for k in range(longs)), s["sum"].alias("sum"), least(s).alias("least")))
+
+        zero, none = F.lit(0).cast("long"), F.lit(N_LOG_N[window]).cast("long")
+        start = F.struct(*(zero.alias(f"c{k}") for k in range(longs)), zero.alias("sum"), none.alias("least"))
+        steps = F.when(F.length(raw) > 0, F.sequence(F.lit(1), F.length(raw))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, start, step, lambda state: F.lit(math.log2(window)) - state["least"] / F.lit(float(window * 2**UNIT_BITS)))
+
+    return let(candidate.cast("binary"), of)
 
 
 def suspicious(candidate: Column) -> Column:
@@ -92,7 +183,7 @@ def suspicious(candidate: Column) -> Column:
     for form in ALLOWED:
         allowed = allowed | candidate.rlike(form)
     threshold = (
-        F.when(candidate.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), THRESHOLDS["hex"])
+        F.when(candidate.rlike("^(?:[0-9a-f]++|[0-9A-F]++)$"), THRESHOLDS["hex"])
         .when(candidate.rlike("[a-z]") & candidate.rlike("[A-Z]"), THRESHOLDS["mixed"])
         .otherwise(THRESHOLDS["single"])
     )
@@ -100,17 +191,16 @@ def suspicious(candidate: Column) -> Column:
 
 
 def entropy_spans(text: Column, base: Column) -> Column:
-    """Spans of candidates with a window of high entropy that overlap no base span."""
-    spans = found(text, CANDIDATE, KINDS.index("entropy"))
-    free = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    kept = F.filter(free, lambda s: suspicious(F.substring(text, s["start"] + 1, s["end"] - s["start"])))
-    return F.when(text.rlike(rf"(?=[A-Za-z+/_=-]*[0-9]){CANDIDATE}"), kept).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int>>"))
+    """Spans of candidates with a window of high entropy, in what the base spans leave of the text."""
+    left = F.when(F.size(base) > 0, replaced(text, base, blanks)).otherwise(text)
+    kept = let(left, lambda rest: F.transform(F.filter(places(rest, CANDIDATE), lambda m: suspicious(m["value"])), lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index("entropy")).alias("rank"), m["end"].alias("end"))))
+    return F.when(text.rlike(LIKELY), kept).otherwise(F.array().cast(SPANS))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
     """docs with the columns `base_spans` and `spans` added: arrays of (start, rank, end) in order."""
     text = F.coalesce("text", F.lit(""))
-    base = F.concat(found(text, ASSIGN, 0, (2, ASSIGN_LEAST)), found(text, ACCESS, 1), found(text, HEX, 2))
+    base = F.concat(found(text, ASSIGN, 0, ASSIGN_LEAST), found(text, ACCESS, 1), found(text, HEX, 2))
     held = docs.withColumn("base_spans", F.array_sort(base))
     return held.withColumn("spans", F.array_sort(F.concat("base_spans", entropy_spans(text, F.col("base_spans")))))
 
@@ -129,13 +219,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mask: str = MASK) -> DataFrame:
-    """docs with every span of its text replaced by a mask; a text without spans stays as it is."""
+    """docs with every span of its text replaced by a mask (one for spans that overlap); a text without spans stays as it is."""
     rows = scanned(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), "text"))
-
-    def step(state: Column, s: Column) -> Column:
-        out = F.when(s["start"] >= state["at"], F.concat(state["out"], F.substring("text", state["at"] + 1, s["start"] - state["at"]), F.lit(mask))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
-
-    cut = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda state: F.concat(state["out"], F.substring("text", state["at"] + 1, F.length("text"))))
-    text = F.when(F.size("spans") > 0, cut).otherwise(F.col("text"))
+    text = F.when(F.size("spans") > 0, replaced(F.col("text"), F.col("spans"), lambda s, at: F.when(s["start"] >= at, mask).otherwise(""))).otherwise(F.col("text"))
     return rows.select("own", text.alias("text")).select(*((F.col("text") if c == "text" else F.col("own").getField(c)).alias(c) for c in docs.columns))
