@@ -12,8 +12,9 @@ import xxhash
 import corpus_pipeline
 from millrace.llm import decontam, lang_id, packing, simhash, suffix_dedup
 from millrace.llm.common import remainder
-from millrace.llm.tokens import Ids, vocabulary
+from millrace.llm.tokens import vocabulary
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from test_text_operators import documents, held, masked
 
@@ -210,7 +211,7 @@ def test_pipeline(spark):
     rows = [r for r in rows if r["doc_id"] in first]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = [r for r, h in zip(rows, brute_hits([r["text"] for r in rows], items), strict=True) if not h[4]]
-    encode = Ids(vocabulary("word_bpe_49k.json"), "word").tokenizer.encode
+    encode = Tokenizer.from_file(vocabulary("word_bpe_49k.json")).encode
     want = Counter()
     for r in rows:
         n = len(encode(masked(r["text"] or ""), add_special_tokens=False).ids) + 1

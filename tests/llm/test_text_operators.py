@@ -14,6 +14,7 @@ from millrace.llm import lang_id, license_scan, lm_score, packing, quality, secr
 from millrace.llm.common import remainder
 from millrace.llm.tokens import Ids, vocabulary
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -36,10 +37,19 @@ def by_id(df):
 def test_token_ids_are_exact():
     random.seed(5)
     mixed = ["".join(random.choice(["a", "B", " ", "\n", "é", "1", ".", "'s", "\t", "ʼ", "ß", "  ", "語", "Ω", "-"]) for _ in range(40)) for _ in range(400)]
+    mixed += ["".join(random.choice(["a", "Bc", " ", "\n", "é", "1", ".", "'s", "'", " x", "**", "<|endoftext|>"]) for _ in range(random.randrange(30))) for _ in range(400)]
     for name, kind in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
-        ids = Ids(vocabulary(name), kind)
+        ids, library = Ids(vocabulary(name), kind), Tokenizer.from_file(vocabulary(name))
         for text in [t for t in TEXTS if t] + mixed:
-            assert np.frombuffer(ids.encode(text), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids, text[:60]
+            assert np.frombuffer(ids.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text[:60]
+        flat, counts = Ids(vocabulary(name), kind).encode_all([*TEXTS, *mixed], 7)
+        for text, n, end in zip([*TEXTS, *mixed], counts.tolist(), np.cumsum(counts).tolist(), strict=True):
+            assert flat[end - n : end].tolist() == [*library.encode(text or "", add_special_tokens=False).ids, 7], text[:60]
+        assert end == len(flat) and Ids(vocabulary(name), kind).encode_all([], 7)[0].size == 0
+        plain = Ids(vocabulary(name), kind, special_as_text=True)
+        library.encode_special_tokens = True
+        for text in ("a <|endoftext|> b", "<|startoftext|>x"):
+            assert np.frombuffer(plain.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("high", [1, 2, 17, 300, 60_000, 2**31, 2**60, 2**63])
@@ -59,7 +69,7 @@ def test_simple8b_round_trip(high):
 def test_simple8b_files(spark):
     docs = documents(spark)
     out = sorted(simple8b.encode_and_read_back(docs, vocabulary("byte_bpe_50k.json")).collect(), key=lambda r: r["start"])
-    encode = Ids(vocabulary("byte_bpe_50k.json"), "byte").tokenizer.encode
+    encode = Tokenizer.from_file(vocabulary("byte_bpe_50k.json")).encode
     want = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     start = 0
     for row, (doc_id, text) in zip(out, want, strict=True):
@@ -86,7 +96,7 @@ def test_packing(spark):
     docs = documents(spark)
     path = vocabulary("word_bpe_49k.json")
     rows = packing.packed(docs, path, 64).collect()
-    encode = Ids(path, "word").tokenizer.encode
+    encode = Tokenizer.from_file(path).encode
     want = Counter()
     for r in docs.collect():
         ids = [*encode(r["text"] or "", add_special_tokens=False).ids, 0]
@@ -214,7 +224,7 @@ def test_quality(spark):
     assert quality.assess(docs.filter("false")).count() == 0
 
 
-SECRETS = ["password = hunter22 and token:abc then api-key", 'API_KEY="a.b/c=d+e" secret: tokenly', "password=token:abcdef Secret='x12345'", "AKIA" + "Z9" * 10 + "x AKIA12", "0123456789abcdef01234567 deadbeef", "é日🎉 passwd: 🎉 passwd:longenough password=password=longenough", "key 9fXq2LmZ7RtB4wKc8VyD3nHs end", "see 123e4567-e89b-12d3-a456-426614174000 and /usr/local/share/python3/site", "tokentoken::abcdefg token=abcdef"]
+SECRETS = ["password = hunter22 and token:abc then api-key", 'API_KEY="a.b/c=d+e" secret: tokenly', "password=token:abcdef Secret='x12345'", "AKIA" + "Z9" * 10 + "x AKIA12", "0123456789abcdef01234567 deadbeef", "é日🎉 passwd: 🎉 passwd:longenough password=password=longenough", "key 9fXq2LmZ7RtB4wKc8VyD3nHs end", "see 123e4567-e89b-12d3-a456-426614174000 and /usr/local/share/python3/site", "tokentoken::abcdefg token=abcdef", "AKIA" + "Z9" * 10 + "/9fXq2LmZ7RtB4wKc8VyD3nHsQpa", "deadbeefdeadbeefdeadbeef+9fXq2LmZ7RtB4wKc8VyD3nHs=0123456789abcdef01234567 é", "ab/" * 20_000 + "1", "aB3" * 30 + "é " + "".join(chr(43 + 7 * i * i % 80) for i in range(400))]
 
 
 def secret_spans(t):
@@ -229,11 +239,13 @@ def entropy(candidate, w=20):
 
 
 def entropy_spans(t, base):
-    """The added spans, by plain windows."""
-    out = []
-    for m in re.finditer(secret_scan.CANDIDATE, t):
+    """The added spans, by plain windows over what the base spans leave."""
+    out, left = [], list(t)
+    for s, _, e in base:
+        left[s:e] = " " * (e - s)
+    for m in re.finditer(secret_scan.CANDIDATE, "".join(left)):
         c = m[0]
-        if any(s < m.end() and m.start() < e for s, _, e in base) or not re.search("[0-9]", c) or not re.search("[A-Za-z]", c) or any(re.search(p, c) for p in secret_scan.ALLOWED):
+        if not re.search("[0-9]", c) or not re.search("[A-Za-z]", c) or any(re.search(p, c) for p in secret_scan.ALLOWED):
             continue
         kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", c) else "mixed" if re.search("[a-z]", c) and re.search("[A-Z]", c) else "single"
         if entropy(c) >= secret_scan.THRESHOLDS[kind]:
@@ -268,11 +280,29 @@ def test_secrets(spark):
         if r["doc_id"] is not None:
             t = texts[r["doc_id"]]
             assert r["text"] == (masked(t) if t is not None else None)
+    assert out[texts.index(SECRETS[9])]["n_entropy"] == out[texts.index(SECRETS[10])]["n_entropy"] == 1
     plan = secret_scan.report(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
     assert secret_scan.report(docs.filter("false")).count() == 0
 
 
+def test_secrets_in_very_long_candidates(spark):
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = "".join(rng.choice(letters) for _ in range(300_000))
+    texts = [f"é {key} end", "x" * 400_000, "ab/" * 100_000 + "1", "z1" * 150_000, " é ".join("%024x" % rng.getrandbits(96) for _ in range(20_000))]
+    out = by_id(secret_scan.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [out[i]["spans"] for i in range(4)] == [f"entropy:2:{len(key) + 2}", "", "", ""]
+    assert out[4]["n_hex"] == 20_000 and out[4]["spans"] == ",".join(f"hex:{27 * i}:{27 * i + 24}" for i in range(20_000))
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 700])
+def test_running_sums_go_over_blocks(spark, n):
+    values = [(7 * i) % 11 - 3 for i in range(n)]
+    row = spark.createDataFrame([(values,)], "x array<int>").select(secret_scan.running(F.col("x"), secret_scan.plus, F.lit(0)).alias("sums"), secret_scan.running(F.col("x"), F.greatest, F.lit(0)).alias("most")).first()
+    assert row["sums"] == [sum(values[:i]) for i in range(n + 1)] and row["most"] == [max([0, *values[:i]]) for i in range(n + 1)]
+
+
 def test_licenses(spark):
     texts = [*TEXTS, "MIT License MIT license, apache-License", "Licensed under the Apache License, Version 2.0", "the GNU General Public License v3 é", "SPDX-License-Identifier: BSD-3-Clause", "CC BY", "CC-BY-SA 4.0 license", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit licenses, commit license"]
     docs = documents(spark, texts)
@@ -292,8 +322,8 @@ def test_licenses(spark):
     n = len(TEXTS)
     assert out[n + 1]["labels"] == "apache,apache-2.0" and "gpl-3.0" in out[n + 2]["labels"] and "bsd" in out[n + 3]["labels"] and "mit" in out[n + 6]["labels"]
     assert "cc-by-sa" in out[n + 5]["labels"]
-    assert len(license_scan.rules()) > 300
-    assert all(re.compile(r) for _, r, *_ in license_scan.rules())
+    assert len(license_scan.RULES) > 300 and len({r.regex for r in license_scan.RULES}) > 300
+    assert all(re.compile(r.regex) for r in license_scan.RULES)
     plan = license_scan.scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
     assert license_scan.scan(docs.filter("false")).count() == 0
@@ -330,9 +360,9 @@ def matching(pattern, rng):
 
 def test_license_gate_holds_for_every_rule(spark):
     rng = random.Random(7)
-    for _, pattern, label, *_ in license_scan.rules():
+    for rule in license_scan.RULES:
         for _ in range(60):
-            assert re.search(license_scan.GATE, f" {matching(pattern, rng)} "), (label, pattern)
+            assert re.search(license_scan.GATE, f" {matching(rule.regex, rng)} "), rule
     texts = {"released under Apache 2.0": "apache-2.0", "distributed under the terms of the MPL 2.0": "mpl-2.0", "Artistic 2.0": "artistic-2.0", "EPL 1.0": "epl-1.0", "EUPL 1.2": "eupl-1.2", "All rights reserved.": "all-rights-reserved", "Neither the name of X nor the names of its contributors may be used to endorse": "bsd-3-clause", "All advertising materials mentioning features or use of this software must display": "bsd-4-clause"}
     for before in ("", "public license "):
         docs = spark.createDataFrame([(i, before + t) for i, t in enumerate(texts)], "doc_id long, text string")
@@ -340,34 +370,55 @@ def test_license_gate_holds_for_every_rule(spark):
         assert [label in out[i]["labels"].split(",") for i, label in enumerate(texts.values())] == [True] * len(texts), before
 
 
-def all_labels(text):
-    """The labels by all rules, without gate or keywords."""
-    line = f" {' '.join(WORD.findall(text.translate(ASCII)))} "
-    found = sorted((m.start(), -m.end(), -p, label, c) for _, r, label, p, c in license_scan.rules() for m in re.finditer(r, line))
-    end = priority = 0
-    labels = {label for phrase, label in license_scan.PHRASES.items() if f" {phrase} " in line}
-    for start, minus_end, minus_priority, label, _ in found:
-        if not (-minus_end <= end or (start < end and -minus_priority < priority)):
-            end, priority = -minus_end, -minus_priority
-            labels.add(label)
-    return labels
+def all_detections(text):
+    """(start, words, label) by all rules without gate or keywords, suppressed by comparing spans: a match counts among words that no rule before it has."""
+    words, out = WORD.findall(text.translate(ASCII)), []
+    taken = [False] * len(words)
+    for rule in license_scan.RULES:
+        shown = [license_scan.TAKEN if t else w for w, t in zip(words, taken, strict=True)]
+        for m in re.finditer(rule.regex, f" {' '.join(shown)} "):
+            start, n = f" {' '.join(shown)} "[: m.start()].count(" "), m[0].count(" ")
+            out.append((start, n, rule.label))
+            taken[start : start + n] = [True] * n
+    return out
 
 
 def test_license_keywords_lose_no_rule(spark):
     rng = random.Random(9)
-    for keywords, pattern, label, *_ in license_scan.rules():
+    for rule in license_scan.RULES:
         for _ in range(60):
-            text = f" {matching(pattern, rng)} "
-            assert any(f"{k} " in text for k in keywords), (label, text)
+            text = f" {matching(rule.regex, rng)} "
+            assert any(f" {k} " in text for k in rule.keywords), (rule, text)
     told = {"Licensed under the Creative Commons Attribution 4.0 International License": "cc-by", "Creative Commons Attribution Share Alike 4.0": "cc-by-sa-4.0", "under the Creative Commons Zero license": "cc0", "Creative Commons Attribution NonCommercial 3.0": "cc-by-nc-3.0", "Creative Commons Attribution No Derivatives 2.5": "cc-by-nd-2.5", "Expat License": "mit", "Do what the fuck you want to public license, version 2": "wtfpl-2.0", "Open Data Commons Attribution License": "odc-by", "SPDX-License-Identifier: ECL-2.0": "ecl", "SPDX-License-Identifier: GFDL-1.3-or-later": "gfdl", "SPDX-License-Identifier: IJG": "ijg"}
-    texts = [*told, *(matching(pattern, rng) for _, pattern, *_ in license_scan.rules())]
-    out = by_id(license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    made = [matching(rule.regex, rng) for rule in license_scan.RULES]
+    mixed = [" ".join(rng.choices([*made, "some", "words", "the", "license", "gpl", "version 2", "under the"], k=rng.randrange(2, 9))) for _ in range(150)]
+    texts = [*told, *made, *mixed]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out, spans = by_id(license_scan.scan(docs)), by_id(license_scan.detected(docs))
     for i, text in enumerate(texts):
-        labels = set(filter(None, out[i]["labels"].split(",")))
-        assert labels == all_labels(text), text
+        want = all_detections(text)
+        assert [(d["start"], d["n_words"], d["label"]) for d in spans[i]["detections"]] == want, text
+        line = f" {' '.join(WORD.findall(text.translate(ASCII)))} "
+        labels = {x for *_, x in want} | {label for phrase, label in license_scan.PHRASES.items() if f" {phrase} " in line}
+        assert labels == set(filter(None, out[i]["labels"].split(","))), text
         assert any(x == told.get(text, x) or x.startswith(told.get(text, x) + "-") for x in labels), (text, labels)
 
 
+def test_license_priority_holds_whichever_match_begins_first(spark):
+    texts = ["licensed under the MPL 2.0", "GNU GPL version 3 license", "under the Apache License 2.0 or the MIT license"]
+    out = by_id(license_scan.detected(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    labels = [[(d["start"], d["label"]) for d in out[i]["detections"]] for i in range(len(texts))]
+    assert labels == [[(3, "mpl-2.0")], [(0, "gpl-3.0")], [(2, "apache-2.0"), (8, "mit")]]
+
+
+def test_licenses_in_a_very_long_text(spark):
+    n = 4000
+    docs = spark.createDataFrame([(1, "some words, MIT License. GPL v2! " * n + "x " * 200_000)], "doc_id long, text string")
+    r = license_scan.scan(docs).first()
+    assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["labels"]) == (6 * n + 200_000, n, 2, 6 * (n - 1) + 2, "gpl-2.0,mit")
+    assert len(license_scan.detected(docs).first()["detections"]) == 2 * n
+
+
 def test_quality_judges_chunks_by_their_own_band(spark):
     rng = random.Random(11)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
