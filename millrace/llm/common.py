@@ -19,26 +19,46 @@ CHUNK_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; only where it is unset (tests), a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, a folder of our own if there is one machine only (tests), else an error."""
+    conf = spark.sparkContext.getConf()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not one_machine(conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = OWN_FOLDER.get(spark.sparkContext.applicationId) or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        OWN_FOLDER[spark.sparkContext.applicationId] = folder
     return folder.rstrip("/")
 
 
+#: The folders of local applications without spark.checkpoint.dir.
+OWN_FOLDER: dict[str, str] = {}
+
+
+def one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: lineage ends there, and lost executors lose nothing.
 
-    The table goes when the application ends.
+    The table goes with dropped(), else when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing will read again."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
