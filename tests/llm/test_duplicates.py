@@ -158,13 +158,13 @@ def brute_hits(texts, items):
     for name, t in items:
         w = words(t)
         for i in range(max(1, len(w) - 9) if w else 0):
-            windows.setdefault(tuple(w[i : i + 10]), set()).add(str(name))
+            windows.setdefault(tuple(w[i : i + 10]), set()).update([] if name is None else [str(name)])
     out = []
     for t in texts:
         w, hit, names = words(t), set(), set()
         for size in {len(x) for x in windows}:
             for i in range(len(w) - size + 1):
-                if found := windows.get(tuple(w[i : i + size])):
+                if (found := windows.get(tuple(w[i : i + size]))) is not None:
                     hit |= set(range(i, i + size))
                     names |= found
         out.append((len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
@@ -178,9 +178,10 @@ def test_decontamination(spark, room, monkeypatch):
     line = lambda n: " ".join(rng.choice(["the", "of", "Cat", "dog", "x1", "é", "q-r"]) + str(rng.randrange(20)) for _ in range(n))
     items = [(i, line(n)) for i, n in enumerate([30, 12, 10, 9, 4, 1, 14])] + [(7, None), (8, "?!"), (9, "the the the the the the the the the the the"), (1, "again under a known id"), (0, None)]
     items[6] = (6, items[0][1])
+    items += [(None, "an item that has no id"), (None, items[1][1])]
     texts = [None, "", "...", line(500), "the " * 40, items[3][1], items[5][1].upper()]
     texts += [f"{line(5)} {items[i][1]}, {line(7)}! {items[0][1][20:]}" for i in range(6)]
-    texts += [" ".join(items[0][1].split()[5:14]), " ".join(items[0][1].split()[5:15]), "z" * 60_000]
+    texts += [" ".join(items[0][1].split()[5:14]), " ".join(items[0][1].split()[5:15]), "z" * 60_000, "here is an item that has no id, and more"]
     docs = documents(spark, texts)
     bench = spark.createDataFrame([(i, t, "c") for i, t in items], "item_id long, text string, n_words string")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
