@@ -3,12 +3,22 @@
 A fingerprint sums the 64 bits of the XXH64 (seed 42) of every 3-word shingle. Equal fingerprints become one node. Two
 nodes at a Hamming distance of at most `RADIUS` = 3 agree on at least one of the four blocks that any bit set is cut
 into, so nodes are dealt to shards by (block, block value); a shard with over `SHARD_LIMIT` nodes is dealt anew by four
-blocks of the bits that it hasn't used yet, which is exact for the same reason. Each shard gets a BK-tree (children keyed
+blocks of the bits that it hasn't used yet, which is exact for the same reason, and ends: six times dealt, the nodes of
+a shard differ in 12 bits at most, so there are no more than 4096. Each shard gets a BK-tree (children keyed
 by their integer distance to the parent); a search follows only edges within the radius. A shard returns a spanning
 forest of the links that it found (at most a row for each node), and the forests are joined into components.
 
-A tree travels with its shard to the task that searches it. Broadcasting all trees to all tasks would have no size
-bound, so shards replace that.
+A tree travels with its shard to the task that searches it. Broadcasting all trees, at once or in waves, would take the
+fingerprints of all documents through the driver, so shards replace that.
+
+`near_duplicates` serves the corpus pipeline. Texts whose sets of `WIDE_SHINGLE` = 5 word shingles have a Jaccard similarity of
+`SIMILARITY` = 0.8 or more differ in about 10 bits, too many for blocks of bits. There, texts are dealt by `WAYS` least
+shingle hashes (two such texts have one in common with a probability of 1 - 0.2 ** 4), each shard's BK-tree over SimHash
+fingerprints is searched within `WIDE_RADIUS` bits, and the links found are confirmed on the whole sets of shingles,
+skipping those between texts that are already connected, so a group of m costs m - 1 sets compared and not all pairs. A
+shard of over `WIDE_LIMIT` texts is dealt anew by `DEALS` more least hashes, `DEEP` times at most. What is still large is a
+crowd of alike texts: each is compared with one of them, `ROUNDS` times, those that are similar leave, and the rest is
+compared block by block. (A link between one that left and one that stayed can be lost there, which keeps one document too many.)
 
 Defined results. Null text is empty text: no words, fingerprint zero, linked like any other. Repeated rows each give a
 row. A null doc_id gets a fingerprint and the component of its fingerprint; the component's name is the smallest
@@ -17,6 +27,7 @@ doc_id that isn't null (null if there is none). Empty table: empty result. Other
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +42,10 @@ RADIUS = 3
 SEED = 42
 SHINGLE = 3
 SHARD_LIMIT = 4096
-#: Levels of dealing; shards of the last one are searched whatever their size.
-LEVELS = 3
+
+WIDE_SHINGLE, SIMILARITY, WIDE_RADIUS = 5, 0.8, 16
+WAYS, DEALS, DEEP, ROUNDS = 4, 3, 2, 4
+WIDE_LIMIT = 512
 
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -144,6 +157,14 @@ def blocks_of(used: list[int]) -> list[list[int]]:
     return [free[cut[k] : cut[k + 1]] for k in range(RADIUS + 1)]
 
 
+def blocks_left(level: int) -> list[int]:
+    """The bits that a shard hasn't used after so many times dealt, as many as any other shard's or one more."""
+    used: list[int] = []
+    for _ in range(level):
+        used += min(blocks_of(used), key=len)
+    return [i for i in range(64) if i not in used]
+
+
 def paths(level: int) -> list[list[int]]:
     """The bits that each of the 4 ** level ways of dealing a node compares."""
     out: list[list[int]] = [[]]
@@ -189,15 +210,12 @@ def shard_forests(keyed: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, shard_limit: int = SHARD_LIMIT) -> DataFrame:
     """nodes: distinct node long. Rows (a, b) whose components are those of all links within the radius."""
-    found = []
+    found, shard_limit = [], max(shard_limit, 1)
     ways = [F.struct(F.lit(i).alias("way"), F.col("node").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(masks(1))]
     keyed = nodes.select("node", F.explode(F.array(*ways)).alias("k")).select("k.way", "k.part", "node")
-    for level in range(1, LEVELS + 1):
-        if level == LEVELS:
-            found.append(shard_forests(keyed))
-            break
+    for level in itertools.count(1):
         large = written(keyed.groupBy("way", "part").count().filter(F.col("count") > shard_limit).select("way", "part"), "simhash-large")
-        if large.isEmpty():
+        if large.isEmpty() or len(blocks_left(level)) <= 12:
             found.append(shard_forests(keyed))
             break
         found.append(shard_forests(keyed.join(large, ["way", "part"], "left_anti")))
@@ -242,9 +260,202 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return prints.join(known, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+SKETCHES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("same", pa.binary()), ("print", pa.int64()), ("n", pa.int32()), ("least", pa.list_(pa.int64())), ("shingles", pa.binary())])
+SKETCHES_DDL = "row long, doc_id long, same binary, print long, n int, least array<long>, shingles binary"
+#: Odd multipliers of the least hashes, a fixed series.
+MULTIPLIERS = (np.random.default_rng(SEED).integers(0, 1 << 63, WAYS + DEEP * DEALS, np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def shingle_hashes(words: np.ndarray, size: int = WIDE_SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, from its words' hashes; fewer words than a shingle are one."""
+    if not len(words):
+        return words
+    width = min(size, len(words))
+    h = np.zeros(len(words) - width + 1, np.uint64)
+    for k in range(width):
+        h = mixed(h * np.uint64(0xBF58476D1CE4E5B9) + words[k : len(words) - width + 1 + k])
+    return np.unique(h)
+
+
+def least_hashes(hashes: np.ndarray) -> list[int]:
+    """For each multiplier the least of the hashes after it."""
+    least = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1 << 14):
+        least = np.minimum(least, mixed(hashes[i : i + (1 << 14), None] * MULTIPLIERS).min(axis=0))
+    return least.view(np.int64).tolist()
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """row, doc_id, a digest of the words, the fingerprint, number, least hashes and all 32-bit hashes of the distinct shingles; a row for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            per_doc = [t.lower().split() for t in texts(batch)]
+            coded = pa.array(list(itertools.chain.from_iterable(per_doc)), pa.binary()).dictionary_encode()
+            own = np.array([xxhash.xxh3_64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()], np.uint64)
+            words = own[coded.indices.to_numpy()]
+            out, at = [], 0
+            for row, doc_id, w in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), per_doc, strict=True):
+                h = shingle_hashes(words[at : at + len(w)])
+                at += len(w)
+                value = majority(h)
+                out.append((row, doc_id, xxhash.xxh3_128_digest(b" ".join(w), SEED), value - (1 << 64) if value >> 63 else value, len(h), least_hashes(h), np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()))
+            if out:
+                yield record(SKETCHES, *map(list, zip(*out, strict=True)))
+
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCHES_DDL)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """The similarity of two ascending sets; two empty ones are alike."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int((b[at] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def by_shard(rows: DataFrame, columns: list[str], solve, ddl: str, schema: pa.Schema) -> DataFrame:
+    """solve(list of columns as Python lists) of each shard of rows, whose column `shard` deals them; a shard is held whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if held and r["shard"] != held[0]["shard"]:
+                    out += solve(held)
+                    held = []
+                held.append(r)
+            if out:
+                yield record(schema, *map(list, zip(*out, strict=True)))
+        if held and (out := solve(held)):
+            yield record(schema, *map(list, zip(*out, strict=True)))
+
+    return rows.select("shard", *columns).repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(run, ddl)
+
+
+def wide_links(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a shard that lie within the wide radius and whose numbers of shingles allow the similarity, the closest first."""
+    distinct, back = np.unique(values, return_inverse=True)
+    a, b = tree_links(distinct, np.zeros(len(distinct), np.int64), WIDE_RADIUS)
+    members = np.argsort(back, kind="stable")
+    first = np.searchsorted(back[members], np.arange(len(distinct) + 1))
+    alone = np.diff(first) == 1
+    plain = alone[a] & alone[b]
+    pairs = [(members[first[a[plain]]], members[first[b[plain]]])]
+    # texts of one fingerprint: all pairs with each other, and with all those of a fingerprint that is near
+    for x in np.flatnonzero(~alone).tolist():
+        own = members[first[x] : first[x + 1]]
+        i, j = np.triu_indices(len(own), 1)
+        pairs.append((own[i], own[j]))
+    for x, y in zip(a[~plain].tolist(), b[~plain].tolist(), strict=True):
+        left, right = members[first[x] : first[x + 1]], members[first[y] : first[y + 1]]
+        pairs.append((np.repeat(left, len(right)), np.tile(right, len(left))))
+    left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    fits = np.minimum(sizes[left], sizes[right]) >= SIMILARITY * np.maximum(sizes[left], sizes[right])
+    left, right = left[fits], right[fits]
+    near = np.argsort(np.bitwise_count(values[left] ^ values[right]), kind="stable")
+    return left[near], right[near]
+
+
+def partners(rows: list[dict]) -> list[tuple[int, int]]:
+    """(shard, row) of the texts of a shard that have a possible link."""
+    if len(rows) < 2:
+        return []
+    a, b = wide_links(np.array([r["print"] for r in rows]).view(np.uint64), np.array([r["n"] for r in rows]))
+    return [(rows[0]["shard"], rows[i]["row"]) for i in np.union1d(a, b).tolist()]
+
+
+def confirmed(rows: list[dict]) -> list[tuple[int, int]]:
+    """Links of a shard with the similarity that connect what all of them connect."""
+    if len(rows) < 2:
+        return []
+    a, b = wide_links(np.array([r["print"] for r in rows]).view(np.uint64), np.array([r["n"] for r in rows]))
+    sets, of, out = [np.frombuffer(r["shingles"], "<u4") for r in rows], np.arange(len(rows)), []
+    for i in range(0, len(a), 4096):
+        apart = i + np.flatnonzero(of[a[i : i + 4096]] != of[b[i : i + 4096]])
+        for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+            if of[x] != of[y] and jaccard(sets[x], sets[y]) >= SIMILARITY:
+                out.append((rows[x]["row"], rows[y]["row"]))
+                of[of == of[y]] = of[x]
+    return out
+
+
+def wide_edges(reps: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
+    """reps: sketches of distinct texts, a written table. Links (a, b) between rows with the similarity."""
+    shards = pa.schema([("shard", pa.int64()), ("row", pa.int64())])
+    found = []
+
+    def settle(keyed: DataFrame) -> None:
+        some = written(by_shard(keyed.join(reps.select("row", "print", "n"), "row"), ["row", "print", "n"], partners, "shard long, row long", shards), "near-partners")
+        found.append(written(by_shard(some.join(reps.select("row", "print", "n", "shingles"), "row"), ["row", "print", "n", "shingles"], confirmed, "a long, b long", EDGES), "near-links"))
+
+    def parted(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The shards of two to limit texts, and the large ones with their number of texts."""
+        sized = written(keyed.groupBy("shard").count().filter("count > 1"), "near-shards")
+        large = sized.filter(F.col("count") > limit)
+        return keyed.join(sized.filter(F.col("count") <= limit).select("shard"), "shard", "left_semi"), large
+
+    keyed = reps.select("row", F.posexplode(F.slice("least", 1, WAYS)).alias("way", "key")).select(F.xxhash64("way", "key").alias("shard"), "row")
+    small, large = parted(keyed)
+    settle(small)
+    for level in range(DEEP):
+        if large.isEmpty():
+            break
+        keys = reps.select("row", F.posexplode(F.slice("least", 1 + WAYS + level * DEALS, DEALS)).alias("way", "key"))
+        keyed = written(keyed.join(large.select("shard"), "shard", "left_semi").join(keys, "row").select(F.xxhash64("shard", "way", "key").alias("shard"), "row"), "near-dealt")
+        small, large = parted(keyed)
+        settle(small)
+    for _ in range(ROUNDS):
+        if large.isEmpty():
+            break
+        # the crowd of each shard: all are compared with the one of the least hash, and those that are similar leave
+        crowd = keyed.join(large.select("shard"), "shard", "left_semi")
+        pivots = crowd.groupBy("shard").agg(F.min(F.struct(F.xxhash64("row"), "row"))["row"].alias("pivot"))
+        pivots = written(pivots.join(reps.select(F.col("row").alias("pivot"), F.col("shingles").alias("asked")), "pivot"), "near-pivots")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                same = [jaccard(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= SIMILARITY for x, y in zip(batch.column("shingles").to_pylist(), batch.column("asked").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("row"), batch.column("pivot"), pa.array(same, pa.bool_())], names=["shard", "row", "pivot", "same"])
+
+        told = written(crowd.join(pivots, "shard").join(reps.select("row", "shingles"), "row").select("shard", "row", "pivot", "shingles", "asked").mapInArrow(compare, "shard long, row long, pivot long, same boolean"), "near-crowd")
+        found.append(told.filter("same AND row != pivot").select(F.col("pivot").alias("a"), F.col("row").alias("b")))
+        keyed = told.filter("NOT same").select("shard", "row")
+        small, large = parted(keyed)
+        settle(small)
+    if not large.isEmpty():
+        # blocks of half the limit, each pair of them a shard
+        blocks = F.ceil(F.col("count") * 2 / limit).cast("long")
+        own = F.pmod(F.xxhash64("row"), F.col("blocks"))
+        pairs = keyed.join(large.select("shard", blocks.alias("blocks")), "shard").select("shard", "row", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        settle(pairs.filter("own != other").select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "row"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def near_duplicates(docs: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
+    """doc_id and the smallest doc_id that isn't null of its group, a row for each row: documents connected by similarity, texts of the same words among them."""
+    prints = written(sketches(docs), "near-sketches")
+    same = written(prints.groupBy("same").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id")), "near-texts")
+    reps = written(prints.join(same.select("row"), "row", "left_semi").select("row", "print", "n", "least", "shingles"), "near-nodes")
+    roots = components(wide_edges(reps, limit))
+    named = same.join(roots.withColumnRenamed("node", "row"), "row", "left").select("same", "least_id", F.coalesce("root", "row").alias("root"))
+    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return prints.select("doc_id", "same").join(named.select("same", "root").join(names, "root"), "same").select("doc_id", "component_id")
+
+
 def representatives(docs: DataFrame) -> DataFrame:
-    """The document of the smallest doc_id of each group, with its own columns; of repeated rows of that doc_id one. A null doc_id names no group's document: such rows stay."""
-    kept = simhash_groups(docs.filter("doc_id IS NOT NULL")).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    """The document of the smallest doc_id of each group of near_duplicates, with its own columns; of repeated rows of that doc_id one. A null doc_id names no group's document: such rows stay."""
+    kept = near_duplicates(docs.filter("doc_id IS NOT NULL")).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     rows = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")).join(kept, "doc_id", "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("own")))
     return rows.withColumn("turn", first).filter("turn = 1").select("own.*").unionByName(docs.filter("doc_id IS NULL"))

@@ -63,9 +63,81 @@ def test_simhash_groups(spark):
     want = Counter((d, f"{p:016x}", c) for (d, p), c in zip(prints, groups(prints), strict=True))
     assert Counter(tuple(r) for r in simhash.simhash_groups(docs).collect()) == want
     assert simhash.simhash_groups(docs.filter("false")).count() == 0
-    kept = simhash.representatives(docs)
+
+
+def wide_pairs(texts):
+    """All pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, by comparing all."""
+    sets = []
+    for t in texts:
+        w = (t or "").translate(ASCII).encode().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] == sets[j] or (0.8 <= len(sets[i]) / max(1, len(sets[j])) <= 1.25 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))]
+
+
+def joined(n, pairs):
+    """The smallest member of each one's component."""
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    return [find(i) for i in range(n)]
+
+
+def edited(rng, words, share):
+    out = list(words)
+    for _ in range(max(1, int(share * len(out)))):
+        i, what = rng.randrange(len(out)), rng.random()
+        out[i : i + 1] = [] if what < 0.3 else [out[i], "new" + str(rng.randrange(99))] if what < 0.6 else ["changed" + str(rng.randrange(99))]
+    return out
+
+
+@pytest.mark.parametrize("limit", [512, 6])
+def test_near_duplicates_against_all_pairs(spark, limit):
+    rng = random.Random(12)
+    line = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(300)) for _ in range(n)]
+    passage, texts = line(60), [None, "", "  ", "one", "One", "a b c d", "a b c d e", "x" * 50_000]
+    for n in (30, 80, 200, 500):
+        for _ in range(12):
+            own = line(n)
+            texts += [" ".join(own), *(" ".join(edited(rng, own, rng.choice((0.005, 0.01, 0.02, 0.04)))) for _ in range(3))]
+    texts += [" ".join(passage + line(50)) for _ in range(25)]
+    crowd = line(300)
+    texts += [" ".join(edited(rng, crowd, 0.005)) for _ in range(30)]
+    docs = documents(spark, texts).filter("doc_id IS NOT NULL")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, limit).collect()}
+    pairs = wide_pairs(texts)
+    assert len(got) == len(texts) and len(pairs) > 400
+    # no two documents are brought together that similarity doesn't connect
+    whole, groups_of = joined(len(texts), pairs), {}
+    for d, c in got.items():
+        groups_of.setdefault(c, []).append(d)
+    assert all(c == min(ds) and len({whole[d] for d in ds}) == 1 for c, ds in groups_of.items())
+    assert sum(got[i] == got[j] for i, j in pairs) >= (0.97 if limit > 100 else 0.9) * len(pairs)
+    kept = simhash.representatives(documents(spark, texts))
     assert kept.columns == docs.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter({None: 1, **{c: 1 for c in set(groups(prints)) if c is not None}})
+    if limit > 100:
+        assert Counter(r["doc_id"] for r in kept.collect()) == Counter({None: 1, **{c: 1 for c in groups_of}})
+    assert simhash.near_duplicates(docs.filter("false")).count() == 0
+
+
+def test_near_duplicates_of_the_test_tables(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    place = {r["doc_id"]: i for i, r in enumerate(rows)}
+    got = {place[r["doc_id"]]: place[r["component_id"]] for r in simhash.near_duplicates(docs).collect()}
+    pairs = [(i, j) for i, j in wide_pairs([r["text"] for r in rows])]
+    texts = [" ".join((r["text"] or "").translate(ASCII).encode().decode().split()) for r in rows]
+    unlike = [(i, j) for i, j in pairs if texts[i] != texts[j]]
+    assert unlike and sum(got[i] == got[j] for i, j in unlike) >= 0.9 * len(unlike)
+    assert all(got[i] == got[j] for i, j in pairs if texts[i] == texts[j])
+    whole = joined(len(rows), pairs)
+    assert all(whole[i] == whole[c] for i, c in got.items())
 
 
 def test_links_hold_when_shards_are_dealt_anew(spark):
@@ -207,9 +279,11 @@ def test_pipeline(spark):
     model = lang_id.train(docs.filter(remainder(F.col("doc_id"), 4) != 2))
     known = {r["doc_id"] for r in lang_id.predict(docs, model).collect() if r["lang_pred"] != "und" and not r["ambiguous"]}
     rows = [r for r in rows if r["doc_id"] in known]
-    prints = [(r["doc_id"], print_of(r["text"])) for r in rows]
-    first = set(groups(prints))
-    rows = [r for r in rows if r["doc_id"] in first]
+    # one document of each group of similar texts; whether the groups are right is tested above
+    alike = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs.join(spark.createDataFrame([(d,) for d in known], "doc_id long"), "doc_id")).collect()}
+    whole = joined(len(rows), wide_pairs([r["text"] for r in rows]))
+    assert all(whole[i] == whole[j] for i in range(len(rows)) for j in range(i) if alike[rows[i]["doc_id"]] == alike[rows[j]["doc_id"]])
+    rows = [r for r in rows if r["doc_id"] == alike[r["doc_id"]]]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = [r for r, h in zip(rows, brute_hits([r["text"] for r in rows], items), strict=True) if not h[4]]
     encode = Tokenizer.from_file(vocabulary("word_bpe_49k.json")).encode
