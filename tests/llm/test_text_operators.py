@@ -131,41 +131,68 @@ def test_lm_scores(spark, monkeypatch):
     words = {"a": ["le", "la", "un", "chat", "Noir"], "b": ["the", "cat", "sat", "Dog", "ran"]}
     texts = [" ".join(random.choice(words[random.choice("ab") if i % 9 == 0 else "ab"[i % 2]]) + (str(random.randrange(40)) if random.random() < 0.2 else "") for _ in range(30)) for i in range(200)]
     docs = documents(spark, [*texts, *TEXTS]).withColumn("held_out", remainder(F.col("doc_id"), 5) == 1)
-    monkeypatch.setattr(lm_score, "HEAD", 6)
-    monkeypatch.setattr(lm_score, "UNIT_WORDS", 4)
-    monkeypatch.setattr(lm_score, "UNIT_ENDINGS", 3)
-    model, counts = lm_score.train(docs.filter("not held_out"))
+    monkeypatch.setattr(lm_score, "HEAD", 12)
+    monkeypatch.setattr(lm_score, "SEEDS", 4)
+    monkeypatch.setattr(lm_score, "CLASSES", 3)
+    monkeypatch.setattr(lm_score, "CHUNK_BYTES", 900)
+    model, table = lm_score.train(docs.filter("not held_out"))
     rows = docs.collect()
-    n = Counter()
-    for r in rows:
-        if not r["held_out"]:
-            n.update(lm_tokens(r["text"]))
+    train = [lm_tokens(r["text"]) for r in rows if not r["held_out"]]
+    n = Counter(t for toks in train for t in toks)
     total, kinds = sum(n.values()), len(n)
-    got = Counter()
-    place = model.units.mapper()
-    unit_class = lambda w: int(model.class_of[place(w)])
-    mass, seen = Counter(), Counter()
+    rare = {bytes(r["word"]): (r["n"], r["class"]) for r in table.collect()}
+    assert len(model.head) == 13 and {w: model.counts[i] for w, i in model.head.items()} | {w: c for w, (c, _) in rare.items()} == n and not rare.keys() & model.head.keys()
+    own = {w: int(model.class_of[i]) for w, i in model.head.items()} | {w: c for w, (_, c) in rare.items()}
+    assert own[b""] == 0 and all(c >= 2 for w, c in own.items() if w)
+    history = lambda w: own[w] if w in model.head else lm_score.REST
+    size = len(model.transition)
+    seen, mass, members = np.zeros((size, size)), Counter(), Counter()
     for w, c in n.items():
-        mass[unit_class(w)] += c
-        seen[unit_class(w)] += 1
-    for r in lm_score.score(docs, model, counts).collect():
+        mass[own[w]] += c
+        members[own[w]] += 1
+    for toks in train:
+        for a, b in zip([b"", *toks], toks, strict=False):
+            seen[history(a), own[b]] += 1
+    share = np.where(np.arange(size) == lm_score.REST, 0, seen.sum(0) + 0.5)
+    chance = (seen + lm_score.BACK_OFF * share / share.sum()) / (seen.sum(1, keepdims=True) + lm_score.BACK_OFF)
+    assert np.allclose(10**model.transition, chance) and np.allclose(chance.sum(1), 1)
+    # each word outside the head is where it raises the likelihood of the classes around it most
+    every = np.zeros((size, size))
+    for toks in train:
+        for a, b in zip([b"", *toks], toks, strict=False):
+            every[history(a), history(b)] += 1
+    x = lambda v: v * math.log(v) if v > 0 else 0.0
+    around = {w: (Counter(), Counter()) for w in rare}
+    for toks in train:
+        for a, b, c in zip([b"", *toks], toks, [*toks[1:], b""], strict=False):
+            if b in rare:
+                around[b][0][history(a)] += 1
+                around[b][1][history(c)] += 1
+    for w, (left, right) in around.items():
+        gains = []
+        for c in range(2, size):
+            gain = sum(x(every[h, c] + k) - x(every[h, c]) for h, k in left.items()) + sum(x(every[c, h] + k) - x(every[c, h]) for h, k in right.items())
+            row, column = every[c].sum(), every[:, c].sum()
+            gains.append(gain - x(row + right.total()) + x(row) - x(column + left.total()) + x(column))
+        assert gains[own[w] - 2] >= max(gains) - 1e-6, w
+    got, want = Counter(), Counter()
+    for r in lm_score.score(docs, model, table).collect():
         got[r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)] += 1
-    want = Counter()
+    emission = lambda w, c: (n[w] + 0.5) / (mass[c] + 0.5 * (members[c] + 1))
     for r in rows:
         toks = lm_tokens(r["text"])
         base = sum(math.log10((n[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in toks)
-        own, before = 0.0, unit_class(b"")
+        score, before = 0.0, b""
         for w in toks:
-            c = unit_class(w)
-            own += model.transition[before, c] + math.log10((n[w] + 0.5) / (mass[c] + 0.5 * (seen[c] + 1)))
-            before = c
-        want[r["doc_id"], r["held_out"], len(toks), sum(n[w] > 0 for w in toks), total, round(base, 6), round(own, 6)] += 1
+            p = chance[history(before)]
+            score += math.log10(p[own[w]] * emission(w, own[w]) if w in n else sum(p[c] * emission(w, c) for c in range(size)))
+            before = w
+        want[r["doc_id"], r["held_out"], len(toks), sum(n[w] > 0 for w in toks), total, round(base, 6), round(score, 6)] += 1
     assert got == want
-    assert abs((10**model.transition).sum(1) - 1).max() < 1e-9
-    empty_model, empty_counts = lm_score.train(docs.filter("false"))
+    empty_model, empty_table = lm_score.train(docs.filter("false"))
     assert (empty_model.total, empty_model.distinct) == (0, 0)
-    assert lm_score.score(docs, empty_model, empty_counts).count() == docs.count()
-    assert lm_score.score(docs.filter("false"), model, counts).count() == 0
+    assert lm_score.score(docs, empty_model, empty_table).filter("score < 0").count() == docs.count()
+    assert lm_score.score(docs.filter("false"), model, table).count() == 0
 
 
 def test_exchange_raises_likelihood():
