@@ -1,6 +1,6 @@
 """Aggregate expressions with fixed result types and defaults.
 
-Sums and means are doubles, a sum of nothing is 0, counts are ints and count rows. Minimum and maximum keep their
+Sums and means are doubles, a sum of nothing is 0, counts are longs (or ints where these are asked for) and count rows. Minimum and maximum keep their
 type and skip NaN. Nulls are skipped everywhere.
 """
 
@@ -26,6 +26,8 @@ class Agg:
     def of(self, df: DataFrame) -> Column:
         c = F.col(self.column) if isinstance(self.column, str) else self.column
         if self.kind == "count":
+            return F.count(F.lit(1)).alias(self.name)
+        if self.kind == "count_int":
             return F.count(F.lit(1)).cast("int").alias(self.name)
         if self.kind == "count_non_null":
             return F.count(c).cast("long").alias(self.name)
@@ -59,9 +61,9 @@ def mean(column: str | Column) -> Agg:
     return Agg("mean", column)
 
 
-def count() -> Agg:
-    """Rows, whatever their values."""
-    return Agg("count")
+def count(as_int: bool = False) -> Agg:
+    """Rows, whatever their values; as_int: as an int, which raises from 2 ** 31 rows on."""
+    return Agg("count_int", name="count") if as_int else Agg("count")
 
 
 def count_non_null(column: str | Column) -> Agg:

@@ -62,8 +62,8 @@ class Grouped:
     def aggregate(self, *aggs: Agg) -> DataFrame:
         return self.df.groupBy(*self.keys).agg(*(a.of(self.df) for a in aggs))
 
-    def count(self, name: str = "Count") -> DataFrame:
-        return self.aggregate(count().alias(name))
+    def count(self, name: str = "Count", as_int: bool = False) -> DataFrame:
+        return self.aggregate(count(as_int).alias(name))
 
     def sum(self, column: str, name: str | None = None) -> DataFrame:
         return self.aggregate(sum_(column).alias(name or f"Sum_{column}"))

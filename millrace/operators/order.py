@@ -128,9 +128,9 @@ def categories(df: DataFrame, name: str, row_id: str, code: str = "code") -> Dat
     numbered within each partition, and moved by the sizes of the partitions before.
     """
     firsts = df.filter(quoted(name).isNotNull()).groupBy(quoted(name)).agg(F.min(quoted(row_id)).alias("__first"))
-    # a stated number of partitions is what keeps their ids the same in both uses
+    # kept on disk, so that both uses see the same ranges
     count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = firsts.repartitionByRange(count, "__first").withColumn("__part", F.spark_partition_id())
+    placed = firsts.repartitionByRange(count, "__first").withColumn("__part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     rank = F.row_number().over(Window.partitionBy("__part").orderBy("__first"))

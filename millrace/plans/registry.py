@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions.agg import count, max_, mean, min_, sum_
 from ..functions.expr import ieee_div, int_div, lit
 from ..operators import aggregate as A
+from ..operators import inspect as M
 from ..operators import joins as J
 from ..operators import order as O
 from ..operators import rows as R
@@ -43,8 +44,11 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def place(spark: SparkSession) -> str:
-    """A new path in the folder that executors share (spark.checkpoint.dir; a local one where it is unset, as in tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new path in the folder that executors share (spark.checkpoint.dir); where it is unset, a local one on one machine (tests), else an error."""
+    conf = spark.sparkContext.getConf()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
+    if not folder and not conf.get("spark.master", "").startswith("local[") and conf.get("spark.master", "") != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{folder or 'file://' + tempfile.mkdtemp(prefix='millrace-')}/{uuid.uuid4().hex}"
 
 
@@ -63,7 +67,7 @@ def tpch_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = R.where_value(t(spark, sf_dir, "lineitem"), "l_shipdate", "<=", lit("1998-09-02").cast("timestamp_ntz"))
     disc = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     priced = items.select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", disc.alias("disc_price"), (disc * (1 + F.col("l_tax"))).alias("charge"))
-    aggs = [sum_("l_quantity").alias("sum_qty"), sum_("l_extendedprice").alias("sum_base_price"), sum_("disc_price").alias("sum_disc_price"), sum_("charge").alias("sum_charge"), mean("l_quantity").alias("avg_qty"), mean("l_extendedprice").alias("avg_price"), mean("l_discount").alias("avg_disc"), count().alias("count_order")]
+    aggs = [sum_("l_quantity").alias("sum_qty"), sum_("l_extendedprice").alias("sum_base_price"), sum_("disc_price").alias("sum_disc_price"), sum_("charge").alias("sum_charge"), mean("l_quantity").alias("avg_qty"), mean("l_extendedprice").alias("avg_price"), mean("l_discount").alias("avg_disc"), count(as_int=True).alias("count_order")]
     out = A.group_by(priced, "l_returnflag", "l_linestatus").aggregate(*aggs)
     digits = {"sum_qty": 2, "sum_base_price": 2, "sum_disc_price": 2, "sum_charge": 2, "avg_qty": 4, "avg_price": 4, "avg_disc": 4}
     return O.order_by(out.withColumns({c: F.round(c, n) for c, n in digits.items()}), "l_returnflag", "l_linestatus")
@@ -398,7 +402,7 @@ def grouped_query(kind: str, sql: str, name: str) -> None:
     @query(f"SELECT l_returnflag, {sql} FROM lineitem GROUP BY l_returnflag", f"group_{kind}")
     def run(spark, sf_dir):
         grouped = A.group_by(t(spark, sf_dir, "lineitem"), "l_returnflag")
-        out = grouped.count() if kind == "count" else getattr(grouped, kind)("l_extendedprice")
+        out = grouped.count(as_int=True) if kind == "count" else getattr(grouped, kind)("l_extendedprice")
         return out if kind == "count" else out.withColumn(name, F.round(name, 2))
 
 
@@ -416,19 +420,19 @@ for _kind, _sql, _name in (
 min(o_totalprice) AS min_o_totalprice, max(o_totalprice) AS max_o_totalprice, CAST(count(*) AS INT) AS count FROM orders GROUP BY o_orderpriority""")
 def group_multi_agg(spark, sf_dir):
     c = "o_totalprice"
-    out = A.group_by(t(spark, sf_dir, "orders"), "o_orderpriority").aggregate(sum_(c), mean(c), min_(c), max_(c), count())
+    out = A.group_by(t(spark, sf_dir, "orders"), "o_orderpriority").aggregate(sum_(c), mean(c), min_(c), max_(c), count(as_int=True))
     return out.withColumn("sum_o_totalprice", F.round("sum_o_totalprice", 2)).withColumn("avg_o_totalprice", F.round("avg_o_totalprice", 4))
 
 
 @query("SELECT l_returnflag, l_linestatus, CAST(count(*) AS INT) AS \"Count\" FROM lineitem GROUP BY ALL")
 def group_multi_key(spark, sf_dir):
-    return A.group_by(t(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus").count()
+    return A.group_by(t(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus").count(as_int=True)
 
 
 def key_query(name: str, table: str, key: str) -> None:
     @query(f'SELECT {key}, CAST(count(*) AS INT) AS "Count" FROM {table} GROUP BY {key}', f"group_{name}")
     def run(spark, sf_dir):
-        return A.group_by(t(spark, sf_dir, table), key).count()
+        return A.group_by(t(spark, sf_dir, table), key).count(as_int=True)
 
 
 for _name, _table, _key in (("dense_int", "customer", "c_nationkey"), ("sparse_int", "lineitem", "l_orderkey"), ("high_card_string", "customer", "c_name"), ("low_card_string", "customer", "c_mktsegment"), ("date", "orders", "o_orderdate"), ("double", "lineitem", "l_quantity")):
@@ -437,7 +441,7 @@ for _name, _table, _key in (("dense_int", "customer", "c_nationkey"), ("sparse_i
 
 @query('SELECT NULLIF(p_size, 10) AS size, CAST(count(*) AS INT) AS "Count" FROM part GROUP BY 1')
 def group_null_key(spark, sf_dir):
-    return A.group_by(t(spark, sf_dir, "part").select(F.nullif("p_size", F.lit(10)).alias("size")), "size").count()
+    return A.group_by(t(spark, sf_dir, "part").select(F.nullif("p_size", F.lit(10)).alias("size")), "size").count(as_int=True)
 
 
 @query("SELECT NULLIF(p_size, 10) AS size, p_brand, CAST(sum(p_size) AS DOUBLE) AS sum_p_size FROM part GROUP BY 1, 2")
@@ -448,7 +452,7 @@ def group_null_multi_key(spark, sf_dir):
 @query("SELECT p_brand, CAST(COALESCE(sum(v), 0) AS DOUBLE) AS sum_v, min(v) AS min_v, avg(v) AS avg_v, CAST(count(*) AS INT) AS count FROM (SELECT p_brand, CASE WHEN p_brand < 'Brand#3' THEN NULL ELSE p_size END AS v FROM part) GROUP BY 1")
 def group_all_null(spark, sf_dir):
     df = t(spark, sf_dir, "part").select("p_brand", F.when(~(F.col("p_brand") < "Brand#3"), F.col("p_size")).alias("v"))
-    return A.group_by(df, "p_brand").aggregate(sum_("v"), min_("v"), mean("v"), count())
+    return A.group_by(df, "p_brand").aggregate(sum_("v"), min_("v"), mean("v"), count(as_int=True))
 
 
 @query("SELECT CAST(year(o_orderdate) AS INT) AS y, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY 1")
@@ -482,48 +486,30 @@ def count_stream(spark, sf_dir):
 # Order, top-n, slices
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders ORDER BY place LIMIT 50")
-def order_multi_dir(spark, sf_dir):
-    df = O.order_by(t(spark, sf_dir, "orders"), "o_orderpriority", "o_totalprice", "o_orderkey", ascending=[True, False, True]).limit(50)
-    return numbered(df.select("o_orderpriority", "o_totalprice", "o_orderkey"), "o_orderpriority", "o_totalprice", "o_orderkey", ascending=[True, False, True]).select("o_orderkey", "place")
-
-
-def numbered(df: DataFrame, *names: str, ascending=True) -> DataFrame:
-    """Adds the place in an order, for a result of a few rows."""
-    up = [ascending] * len(names) if isinstance(ascending, bool) else ascending
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*O.sort_keys(df, names, up))).cast("long"))
-
-
-@query("SELECT p_partkey, row_number() OVER (ORDER BY size ASC NULLS FIRST, p_partkey) AS place FROM (SELECT p_partkey, NULLIF(p_size, 10) AS size FROM part) ORDER BY place LIMIT 60")
-def order_nulls(spark, sf_dir):
-    df = t(spark, sf_dir, "part").select("p_partkey", F.nullif("p_size", F.lit(10)).alias("size"))
-    return numbered(O.order_by(df, "size", "p_partkey").limit(60), "size", "p_partkey").select("p_partkey", "place")
-
-
-@query("SELECT c_custkey, row_number() OVER (ORDER BY c_name DESC, c_custkey DESC) AS place FROM customer ORDER BY place LIMIT 30")
-def order_string_desc(spark, sf_dir):
-    df = O.order_by(t(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", "c_custkey", ascending=False).limit(30)
-    return numbered(df, "c_name", "c_custkey", ascending=False).select("c_custkey", "place")
-
-
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS place FROM orders")
-def order_multi_dir_all(spark, sf_dir):
-    """Every row with its place; order_multi_dir is the first 50."""
+def order_multi_dir(spark, sf_dir):
+    """Every row with its place."""
     df = t(spark, sf_dir, "orders").select("o_orderpriority", "o_totalprice", "o_orderkey")
     return O.with_place(df, "o_orderpriority", "o_totalprice", "o_orderkey", ascending=[True, False, True]).select("o_orderkey", "place")
 
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY size ASC NULLS FIRST, p_partkey) AS place FROM (SELECT p_partkey, NULLIF(p_size, 10) AS size FROM part)")
-def order_nulls_all(spark, sf_dir):
+def order_nulls(spark, sf_dir):
     df = t(spark, sf_dir, "part").select("p_partkey", F.nullif("p_size", F.lit(10)).alias("size"))
     return O.with_place(df, "size", "p_partkey").select("p_partkey", "place")
 
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_name DESC, c_custkey DESC) AS place FROM customer")
-def order_string_desc_all(spark, sf_dir):
+def order_string_desc(spark, sf_dir):
     return O.with_place(t(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", "c_custkey", ascending=False).select("c_custkey", "place")
 
 
+@query("SELECT event_id, row_number() OVER (ORDER BY value NULLS FIRST, event_id) AS place FROM events")
+def sorted_id_places(spark, sf_dir):
+    """The sorted ids with the place of each, so that their order is compared too."""
+    return O.with_place(t(spark, sf_dir, "events").select("event_id", "value"), "value", "event_id").select("event_id", "place")
+
+
 @query("SELECT event_id FROM events ORDER BY value, event_id")
 def sorted_ids(spark, sf_dir):
     return O.sorted_ids(t(spark, sf_dir, "events"), "event_id", "value")
@@ -637,3 +623,22 @@ def window_rank(spark, sf_dir):
 @query("SELECT column_name AS name, CAST(row_number() OVER () - 1 AS INT) AS place FROM (DESCRIBE customer)")
 def column_names(spark, sf_dir):
     return spark.createDataFrame([(c, i) for i, c in enumerate(t(spark, sf_dir, "customer").columns)], "name string, place int")
+
+
+@query("""
+WITH r AS (SELECT CAST(r_regionkey AS VARCHAR) AS a, r_name AS b FROM region ORDER BY r_regionkey LIMIT 3),
+     w AS (SELECT CAST(greatest(11, max(length(a))) AS INT) AS wa, CAST(greatest(8, max(length(b))) AS INT) AS wb FROM r)
+SELECT rtrim(rpad(a, wa, ' ') || ' | ' || rpad(b, wb, ' ')) AS line FROM w, (SELECT * FROM r UNION ALL VALUES ('r_regionkey', 'r_name'), ('<int>', '<string>'))
+UNION ALL SELECT repeat('-', wa) || '-+-' || repeat('-', wb) FROM w
+UNION ALL SELECT '... (' || (count(*) - 3) || ' more rows)' FROM region
+""")
+def inspect_text(spark, sf_dir):
+    df = t(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey")
+    return spark.createDataFrame([(x,) for x in M.inspect(df, 3).split("\n")], "line string")
+
+
+@query("SELECT true AS held, false AS held_after, count(*) AS n FROM region")
+def release_cached(spark, sf_dir):
+    df = t(spark, sf_dir, "region").select("r_name", F.lit(1).alias("cached")).persist()
+    n, held = df.count(), df.storageLevel.useMemory
+    return spark.createDataFrame([(held, M.release(df).storageLevel.useMemory, n)], "held boolean, held_after boolean, n long")

@@ -57,9 +57,14 @@ def width(schema: Schema) -> int:
 
 
 def without_header(lines: DataFrame) -> DataFrame:
-    """Lines without those in a file's first block that equal the first line of all."""
+    """Lines without the first one of each file that equals the first line of all."""
     first = lines.limit(1).collect()
-    return lines.filter((F.col("_metadata.file_block_start") > 0) | (F.col("value") != first[0][0])) if first else lines
+    if not first:
+        return lines
+    numbered = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    firsts = numbered.filter("block = 0").groupBy("file").agg(F.min(F.struct("line", "value")).alias("first"))
+    heads = firsts.filter(F.col("first.value") == first[0][0]).select("first.line")
+    return numbered.join(heads, "line", "left_anti").select("value")
 
 
 def fields(spark: SparkSession, path: str | list[str], schema: Schema, options: CsvRead) -> DataFrame:
@@ -138,7 +143,11 @@ def read_csv_batches(spark: SparkSession, path: str, schema: Schema, batch_size:
 
 
 def write_csv(df: DataFrame, path: str, options: CsvWrite = CsvWrite()) -> None:
-    """Quotes where needed, quotes doubled; timestamps in ISO form with all digits, booleans True and False, null as a text of choice."""
+    """Quotes where needed, quotes doubled; timestamps in ISO form with all digits, booleans True and False, null as a text of choice.
+
+    A text with a line end is quoted over lines: only CsvRead(multi_line=True) reads it back, so where one is written the
+    plain readers' rows are not the table's.
+    """
     out = []
     for f in df.schema:
         c = quoted(f.name)

@@ -312,3 +312,25 @@ def test_places_of_all_rows(spark):
     assert O.with_place(df.filter("false"), "v", "k").count() == 0
     assert {r["k"]: r["place"] for r in down.collect()} == want
     assert "TakeOrdered" not in down._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_are_longs_unless_ints_are_asked_for(spark):
+    grouped = A.group_by(spark.createDataFrame([(1,), (1,), (2,)], "g int"), "g")
+    assert dict(grouped.count().dtypes)["Count"] == "bigint" and dict(grouped.aggregate(count()).dtypes)["count"] == "bigint"
+    assert sorted(values(grouped.count(as_int=True))) == [(1, 2), (2, 1)] and dict(grouped.count(as_int=True).dtypes)["Count"] == "int"
+
+
+def test_only_the_first_line_is_a_header(spark, tmp_path):
+    for name, rows in (("a", "1,x\na,b\n2,y"), ("b", "a,b\n3,z")):
+        (tmp_path / f"{name}.csv").write_text(f"a,b\n{rows}\n")
+    schema = Schema([ColumnDef("a", "string", True), ColumnDef("b", "string", True)])
+    want = sorted([("1", "x"), ("a", "b"), ("2", "y"), ("a", "b"), ("3", "z")])
+    assert sorted(values(C.read_csv_lenient(spark, str(tmp_path), schema))) == want
+    assert sorted(values(C.read_csv(spark, str(tmp_path), schema, C.CsvRead(keep_blank_lines=True)))) == want
+
+
+def test_quoted_line_ends_need_multi_line(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x\ny"), (2, "z")], "a int, b string")
+    C.write_csv(df, str(tmp_path / "out"))
+    schema = Schema([ColumnDef("a", "int", True), ColumnDef("b", "string", True)])
+    assert sorted(values(C.read_csv(spark, str(tmp_path / "out"), schema, C.CsvRead(multi_line=True)))) == [(1, "x\ny"), (2, "z")]
