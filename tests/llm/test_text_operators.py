@@ -6,11 +6,12 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from millrace.llm import lang_id, license_scan, lm_score, packing, quality, secret_scan, simple8b
+from millrace.llm import common, lang_id, license_scan, lm_score, packing, quality, secret_scan, simple8b
 from millrace.llm.common import remainder
 from millrace.llm.tokens import Ids, vocabulary
 from pyspark.sql import functions as F
@@ -458,3 +459,27 @@ def test_quality_judges_chunks_by_their_own_band(spark):
     out = by_id(quality.assess(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     assert out[0]["reason"] is None and out[0]["chunks_outside"] == 0
     assert [out[i]["reason"] for i in (1, 2, 3)] == ["chunks"] * 3
+
+
+def test_a_shared_folder_is_asked_for_off_one_machine(spark):
+    assert common.one_machine("local[4]") and common.one_machine("local") and not any(map(common.one_machine, ("local-cluster[3,2,3000]", "spark://a:7077", "yarn", "")))
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    class Context:
+        applicationId = "x"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Session())
+    held = common.written(spark.range(3), "dropped")
+    assert held.count() == 3
+    common.dropped(held)
+    assert not list(Path(held.written_to.removeprefix("file://")).parent.glob("dropped-*"))
