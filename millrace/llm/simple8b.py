@@ -36,7 +36,8 @@ MAGIC = b"S8B1"
 BLOCK = 256
 END_ID = 2
 #: Bytes of text whose ids form a shard; a longer text forms one of its own.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 6 << 20
+PARTITION_BYTES = 256 << 20
 
 SHARD = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("ahead", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("n_ids", pa.int64()), ("payload", pa.binary())])
 SHARD_DDL = "part int, seq int, ahead long, doc_ids array<long>, counts array<long>, n_ids long, payload binary"
@@ -119,10 +120,10 @@ def unpack(stream: bytes, first_block: int = 0, last_block: int | None = None) -
     limit = np.minimum((own + 1) * block, size)
     for s in np.unique(selector):
         mine = np.flatnonzero(selector == s)
-        mask = np.uint64((1 << BITS[s]) - 1)
-        for k in range(COUNTS[s]):
-            has = mine[place[mine] + k < limit[mine]]
-            out[place[has] + k] = (words[has] >> np.uint64(k * BITS[s])) & mask
+        values = words[mine, None] >> np.arange(0, COUNTS[s] * BITS[s], BITS[s], dtype=np.uint64) & np.uint64((1 << BITS[s]) - 1)
+        to = place[mine, None] + np.arange(COUNTS[s])
+        has = to < limit[mine, None]
+        out[to[has]] = values[has]
     out = out[:size]
     if escapes:
         pairs = np.frombuffer(stream, "<u8", 2 * escapes, base + 8 * count).reshape(-1, 2)
@@ -131,23 +132,24 @@ def unpack(stream: bytes, first_block: int = 0, last_block: int | None = None) -
     return out
 
 
-def shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID, partitions: int | None = None) -> DataFrame:
-    """Rows (part, seq, ahead: ids before it in its part, doc_ids, counts, n_ids, payload); ordered by (part, seq) they hold the documents in ascending doc_id order."""
-    from pyspark import TaskContext
+def shards(docs: DataFrame, vocabulary: str, end_id: int = END_ID, partitions: int | None = None, special_as_text: bool = False) -> DataFrame:
+    """Rows (part, seq, ahead: ids before it in its part, doc_ids, counts, n_ids, payload); ordered by (part, seq) they hold the documents in ascending doc_id order.
 
-    end = int(end_id).to_bytes(4, "little")
+    partitions: spark.sql.shuffle.partitions, or more where one would get over `PARTITION_BYTES` by the planner's estimate.
+    """
+    from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq, ahead = loaded(vocabulary, "byte"), TaskContext.get().partitionId(), 0, 0
+        encoder, part, seq, ahead = loaded(vocabulary, "byte", special_as_text), TaskContext.get().partitionId(), 0, 0
         for batch in chunks(batches, SHARD_BYTES):
-            coded = [(encode(t) if t else b"") + end for t in batch.column("text").to_pylist()]
-            ids = np.frombuffer(b"".join(coded), "<u4")
-            yield record(SHARD, [part], [seq], [ahead], [batch.column("doc_id").to_pylist()], [[len(c) // 4 for c in coded]], [len(ids)], [pack(ids)])
+            ids, counts = encoder.encode_all(batch.column("text").to_pylist(), end_id)
+            yield record(SHARD, [part], [seq], [ahead], [batch.column("doc_id").to_pylist()], [counts], [len(ids)], [pack(ids)])
             seq += 1
             ahead += len(ids)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    count = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    count = partitions or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // PARTITION_BYTES, 1_000_000))
     return rows.repartitionByRange(count, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SHARD_DDL)
 
 
@@ -163,7 +165,8 @@ def decoded(files: DataFrame) -> DataFrame:
                 raw = unpack(row["payload"]).astype("<u4")
                 ends = np.cumsum(row["counts"])
                 starts = ends - row["counts"]
-                crc = [zlib.crc32(raw[i:j].tobytes()) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+                view = memoryview(raw.tobytes())
+                crc = [zlib.crc32(view[4 * i : 4 * j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
                 yield record(schema, row["doc_ids"], pa.array(starts + row["start"]), row["counts"], crc)
 
     # a row for each partition, as many as the writer was told to make
@@ -171,6 +174,6 @@ def decoded(files: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def encode_and_read_back(docs: DataFrame, vocabulary: str) -> DataFrame:
+def encode_and_read_back(docs: DataFrame, vocabulary: str, special_as_text: bool = False) -> DataFrame:
     """Writes the documents' ids as Simple-8b shards to the shared folder, then returns what the files hold of each document."""
-    return decoded(written(shards(docs, vocabulary), "simple8b"))
+    return decoded(written(shards(docs, vocabulary, special_as_text=special_as_text), "simple8b"))

@@ -3,23 +3,28 @@
 A text is cut where the tokenizer's own pre-tokenizer always cuts, each distinct unit is encoded once by the
 tokenizers library and remembered, and the ids are joined. Units outside a plain alphabet (printable ASCII, line ends
 and the letters of Latin-1), where library versions of Unicode could differ, go to the library's full encoder as they
-are. Strings of special tokens within a text are ordinary text.
+are. Strings of special tokens within a text become special tokens, as the library's encode() has it: a text that may
+hold one goes to the library whole. With special_as_text=True they are ordinary text, so that no document can forge a
+boundary.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import struct
-from collections.abc import Callable
 
-#: Units remembered by a Python worker; beyond that the memo starts anew. Bounds memory, not results.
-MEMO_UNITS = 500_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Units remembered by a Python worker in each of two generations: when the younger is full it becomes the older.
+#: Bounds memory, not results.
+MEMO_UNITS = 300_000
 #: Longer units aren't remembered.
 MEMO_CHARS = 64
 
 LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-MARKS = tuple(",.!?;:")
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PLAIN = re.compile(f"[\n!-~{LETTER}×÷]*")
 ODD = re.compile(f"[^\n -~{LETTER}×÷]")
 CLEAN_SPACE = re.compile(f"(?<=[!-~{LETTER}×÷]) (?=[!-~{LETTER}×÷])")
@@ -35,97 +40,175 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
-def packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+class Ids:
+    """Encodes texts to little-endian unsigned 32-bit ids. kind: "byte" (spaces belong to units) or "word" (spaces are dropped).
 
+    The memo's keys are units without the space before them. To a "byte" tokenizer a unit stands for itself behind a
+    space, or, if it begins with a line end, for itself, or, if it begins with `FIRST`, for what follows that.
+    """
 
-class Ids:
-    """Encodes texts to little-endian unsigned 32-bit ids. kind: "byte" (spaces belong to units) or "word" (spaces are dropped)."""
+    #: Control characters, which no plain text has: before a text's first unit, and before the number of a text that isn't plain.
+    FIRST, OTHER = "\x00", "\x01"
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.tokenizer.encode_special_tokens = special_as_text
+        specials = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: What a text holds if it holds a special token.
+        self.special = {x[:2] for x in specials}
+        self.tokenize = self.tokenizer.model.tokenize
+        #: The four bytes of each id.
+        self.coded = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
         self.kind = kind
+        self.space = " " if kind == "byte" else ""
         self.piece = (BYTE_PIECE if kind == "byte" else WORD_PIECE).findall
         self.shown = {chr(b): x for b, x in enumerate(byte_alphabet()) if b < 128}
         for c in range(0x80, 0x100):
             self.shown[chr(c)] = "".join(byte_alphabet()[b] for b in chr(c).encode())
         self.table = str.maketrans(self.shown)
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        outer = self
-
-        class Memo(dict):
-            def __missing__(self, unit: str) -> bytes:
-                found = outer.unit(unit)
-                if len(unit) <= MEMO_CHARS:
-                    if len(self) >= MEMO_UNITS:
-                        self.clear()
-                    self[unit] = found
-                return found
-
-        self.memo = Memo()
 
     def whole(self, text: str) -> bytes:
-        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def letters(self, piece: str) -> bytes:
         """The ids of one piece of the pre-tokenizer."""
         if self.kind == "word":
             piece = piece.lower()
-        return packed([t.id for t in self.model.tokenize(piece if piece.isascii() and piece.isalpha() else piece.translate(self.table))])
-
-    def unit(self, unit: str) -> bytes:
-        core = unit[1:] if unit[:1] == " " and self.kind == "byte" else unit
-        if core.isalpha() and (core.isascii() or max(core) < "Ā"):
-            return self.letters(unit)
-        # a word with one mark behind it: the mark is a piece of its own
-        if core[-1:] in MARKS and core[:-1].isalpha() and (core.isascii() or max(core) < "Ā"):
-            return self.memo[unit[:-1]] + self.memo[core[-1]]
-        if not PLAIN.fullmatch(unit, 1 if unit[:1] == " " and self.kind == "byte" else 0):
-            return self.whole(unit)
-        out = []
-        for piece in self.piece(unit):
-            if (found := self.pieces.get(piece)) is None:
-                found = self.letters(piece)
-                if len(piece) <= MEMO_CHARS:
-                    if len(self.pieces) >= MEMO_UNITS // 10:
-                        self.pieces.clear()
-                    self.pieces[piece] = found
-            out.append(found)
-        return out[0] if len(out) == 1 else b"".join(out)
+        coded = self.coded
+        return b"".join([coded[t.id] for t in self.tokenize(piece if piece.isalpha() and piece.isascii() else piece.translate(self.table))])
+
+    def piece_ids(self, piece: str) -> bytes:
+        """The ids of a piece that is no word, such as a run of marks."""
+        found = self.pieces.get(piece)
+        if found is None:
+            found = self.letters(piece)
+            if len(self.pieces) >= MEMO_UNITS // 5:
+                self.pieces.clear()
+            if len(piece) <= MEMO_CHARS:
+                self.pieces[piece] = found
+        return found
+
+    def looked_up(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit."""
+        if len(self.memo) >= MEMO_UNITS:
+            self.older, self.memo = self.memo, {}
+        memo, older, tokenize, coded, byte = self.memo, self.older.get, self.tokenize, self.coded, bool(self.space)
+        found = list(map(memo.get, units))
+        for i, ids in enumerate(found):
+            if ids is not None:
+                continue
+            unit = units[i]
+            ids = older(unit)
+            if ids is None:
+                # an ASCII word with or without marks the short way, all else as the rest of the class has it
+                word = unit.rstrip(MARKS)
+                if word.isascii() and word.isalpha():
+                    ids = b"".join([coded[t.id] for t in tokenize(f"Ġ{word}" if byte else word.lower())])
+                    if len(word) != len(unit):
+                        ids += self.piece_ids(unit[len(word) :])
+                else:
+                    ids = self.after_space(unit)
+            if len(unit) <= MEMO_CHARS:
+                memo[unit] = ids
+            found[i] = ids
+        return found
+
+    def after_space(self, unit: str) -> bytes:
+        if self.kind == "byte" and unit[:1] == "\n":
+            return self.piece_ids("\n") + self.unit(unit[1:], "")
+        return self.unit(unit[1:], "") if unit[:1] == self.FIRST else self.unit(unit, self.space)
+
+    def unit(self, core: str, space: str) -> bytes:
+        """The ids of a unit behind a space (or nothing)."""
+        if not core:
+            return b""
+        # a word, or a word and marks: the marks are a piece of their own
+        word = core.rstrip(MARKS)
+        if word.isalpha() and (word.isascii() or max(word) < "Ā"):
+            return self.letters(space + word) + (self.piece_ids(core[len(word) :]) if len(word) != len(core) else b"")
+        if not PLAIN.fullmatch(core):
+            return self.whole(space + core)
+        return b"".join(map(self.piece_ids, self.piece(space + core)))
+
+    def prepared(self, text: str) -> str | None:
+        """The text with a space wherever units part; None if it isn't plain."""
+        if ODD.search(text):
+            return None
+        if any(mark in text for mark in self.special):
+            return None
+        if self.kind == "word":
+            return text.replace("\n", " ")
+        # every space, and every line end, must stand between two visible plain characters
+        text = text.replace("\n", " \n")
+        return None if "  " in text or "\n " in text or text[0] == " " or text[-1] in " \n" else self.FIRST + text
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text, four bytes each."""
         if not text:
             return b""
+        if any(mark in text for mark in self.special):
+            return self.whole(text)
         if self.kind == "word":
             # [\x1c-\x1f] are spaces to str.split() but not to the tokenizer
             units = text.split() if not ODD.search(text) else re.split("[ \t\n\r]+", text)
-            return b"".join(map(self.memo.__getitem__, units))
-        # every space must stand between two visible plain characters
-        if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or ODD.search(text):
-            units = CLEAN_SPACE.split(text)
-        else:
-            units = text.split(" ")
-        first = self.unit(units[0])
-        if len(units) == 1:
-            return first
-        return first + b"".join(map(self.memo.__getitem__, map(" ".__add__, units[1:])))
-
-
-_LOADED: dict[tuple[str, str], Ids] = {}
-
-
-def loaded(path: str, kind: str) -> Callable[[str], bytes]:
-    """One encoder for each Python worker process, kept between its tasks."""
-    if (path, kind) not in _LOADED:
-        _LOADED[path, kind] = Ids(path, kind)
-    return _LOADED[path, kind].encode
+            return b"".join(self.looked_up(units))
+        units = CLEAN_SPACE.split(text)
+        return self.unit(units[0], "") + b"".join(self.looked_up(units[1:]))
+
+    def encode_all(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by end_id, one behind the other; and each text's number of ids.
+
+        Distinct units are looked up once for all texts, so most of the work for a token is Arrow's and NumPy's.
+        """
+        if not texts:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        ready = [self.prepared(t) if t else "" for t in texts]
+        parts = pc.split_pattern(pa.array([f"{self.OTHER}{i}" if r is None else r for i, r in enumerate(ready)], pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        cuts, code = parts.offsets.to_numpy(), coded.indices.to_numpy()
+        units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        others = {k: u for k, u in enumerate(units) if u[:1] == self.OTHER}
+        for k in others:
+            units[k] = ""
+        found = self.looked_up(units)
+        for k, u in others.items():
+            found[k] = self.encode(texts[int(u[1:])])
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        number = np.int32 if size[code].sum() < 1 << 31 else np.int64
+        start, size = (np.cumsum(size) - size).astype(number), size.astype(number)
+        held = np.frombuffer(b"".join(found), "<u4")
+        n = size[code]
+        upto = np.concatenate((np.zeros(1, number), np.cumsum(n, dtype=number)))
+        counts = (upto[cuts[1:]] - upto[cuts[:-1]]).astype(np.int64)
+        source = np.repeat(start[code] - upto[:-1], n)
+        source += np.arange(len(source), dtype=number)
+        # a place for the end id behind each text
+        ends = np.cumsum(counts + 1) - 1
+        out = np.empty(len(source) + len(texts), "<u4")
+        plain = np.ones(len(out), bool)
+        plain[ends] = False
+        out[plain] = held[source]
+        out[ends] = end_id
+        return out, counts + 1
+
+
+_LOADED: dict[tuple[str, str, bool], Ids] = {}
+
+
+def loaded(path: str, kind: str, special_as_text: bool = False) -> Ids:
+    """One encoder for each Python worker process, kept between its tasks; another one takes its place."""
+    key = path, kind, special_as_text
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Ids(*key)
+    return _LOADED[key]
 
 
 def vocabulary(name: str) -> str:
