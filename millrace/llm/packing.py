@@ -8,7 +8,8 @@ knapsack dynamic program over the capacity finds the configuration of the highes
 is rounded down to whole numbers within the counts; what is left is packed by further configurations, each a bounded
 knapsack filled best-fit, largest lengths first, and used as often as the counts allow.
 
-Pieces get places by rank within their length, counted without gathering any length in one task. The plan goes to all
+Pieces get places by rank within their length: within a part as they are cut, then by the counts of the parts before,
+without gathering any length in one task. The plan goes to all
 tasks as sorted steps for each length. Its size depends on the histogram, not on the documents: the program gives at
 most ROUNDS configurations, and a configuration of the rest uses half of what its scarcest length has left, so their
 number grows with the lengths and the logarithm of the counts.
@@ -33,30 +34,31 @@ from .tokens import loaded
 
 CAPACITY = 2048
 END_ID = 0
+#: Bytes of text at a time: the more, the fewer units are looked up twice.
+CHUNK_BYTES = 4 << 20
 #: Rounds of multiplicative weights, and their rate.
 ROUNDS = 1500
 RATE = 0.5
 
-PIECES = pa.schema([("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
-PIECES_DDL = "part int, row long, doc_id long, piece int, start long, length int, ids_crc32 long"
+PIECES = pa.schema([("part", pa.int32()), ("rank", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
+PIECES_DDL = "part int, rank long, doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """A row for each piece of each document; (part, row) orders the pieces as they were read."""
-    end = int(end_id).to_bytes(4, "little")
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, special_as_text: bool = False) -> DataFrame:
+    """A row for each piece of each document; rank counts the pieces of one length within a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, row = loaded(vocabulary, "word"), TaskContext.get().partitionId(), 0
-        for batch in chunks(batches):
-            out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = (encode(text) if text else b"") + end
-                for k, i in enumerate(range(0, len(raw), 4 * capacity)):
-                    part_of = raw[i : i + 4 * capacity]
-                    out.append((part, row, doc_id, k, i // 4, len(part_of) // 4, zlib.crc32(part_of)))
-                    row += 1
-            if out:
-                yield record(PIECES, *map(list, zip(*out, strict=True)))
+        encoder, part, ranks = loaded(vocabulary, "word", special_as_text), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        for batch in chunks(batches, CHUNK_BYTES):
+            ids, counts = encoder.encode_all(batch.column("text").to_pylist(), end_id)
+            raw, at, out = memoryview(ids.tobytes()), 0, []
+            for doc_id, n in zip(batch.column("doc_id").to_pylist(), counts.tolist(), strict=True):
+                for k, i in enumerate(range(0, n, capacity)):
+                    length = min(capacity, n - i)
+                    out.append((part, ranks[length], doc_id, k, i, length, zlib.crc32(raw[4 * (at + i) : 4 * (at + i + length)])))
+                    ranks[length] += 1
+                at += n
+            yield record(PIECES, *map(list, zip(*out, strict=True)))
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES_DDL)
 
@@ -203,8 +205,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             ranks[length] += each * copies
             offset += each * length
         sequence += copies
-    # ranks within (part, length), then within length
-    ranked = cut.withColumn("rank", F.row_number().over(Window.partitionBy("part", "length").orderBy("row")) - 1).join(before, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("ahead"))
+    # ranks within a part, then within all; the counts of all parts have no bound, so they aren't broadcast
+    ranked = cut.join(before.hint("merge"), ["part", "length"]).withColumn("rank", F.col("rank") + F.col("ahead"))
     shared = spark.sparkContext.broadcast({length: np.array(x, np.int64).T for length, x in steps.items()})
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
@@ -225,6 +227,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, special_as_text: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(written(pieces(docs, vocabulary, capacity), "packing-pieces"), capacity)
+    return pack(written(pieces(docs, vocabulary, capacity, special_as_text=special_as_text), "packing-pieces"), capacity)
