@@ -35,12 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, record, texts, written
+from .common import chunks, dropped, record, texts, written
 
 LENGTH = 400
 GRAM = 32
 #: Distinct pieces of an anchor that one task compares.
-GROUP_LIMIT = 8192
+GROUP_LIMIT = 2048
+#: Equal pieces beyond so many, and beyond this share of a partition's rows, are a hot key.
+HOT_ROWS, HOT_SHARE = 256, 64
 
 PIECES = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("d", pa.int64()), ("a", pa.int32()), ("rel", pa.int16()), ("size", pa.int16())])
 PIECES_DDL = "key long, h long, d long, a int, rel short, size short"
@@ -283,32 +285,50 @@ def halved(content: DataFrame) -> DataFrame:
     return content.mapInArrow(run, CONTENT_DDL)
 
 
+def of_repeated(every: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of every whose (h, d) grouped counts more than once.
+
+    A pair that holds a large share of the rows would take them all to one task. There are fewer than HOT_SHARE such pairs for each
+    partition, so these few are broadcast and their rows stay where they are.
+    """
+    spark = every.sparkSession
+    total = grouped.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    most = max(HOT_ROWS, total // (HOT_SHARE * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    hot = F.broadcast(grouped.filter(F.col("n") > most).select("h", "d"))
+    others = every.join(hot, ["h", "d"], "left_anti").join(grouped.filter((F.col("n") > 1) & (F.col("n") <= most)).select("h", "d"), ["h", "d"], "left_semi")
+    return every.join(hot, ["h", "d"], "left_semi").unionByName(others)
+
+
 def repeated_spans(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """docs: key, text. Spans (key, start, end) that cover exactly the bytes to remove; they may overlap."""
     every = written(pieces(docs), "pieces")
     grouped = every.groupBy("h", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "a", "rel", "size")).alias("one"))
     grouped = written(grouped.select("h", "d", "n", "one.*"), "distinct-pieces")
-    twice = grouped.filter("n > 1").select("h", "d")
-    found = [every.join(twice, ["h", "d"], "left_semi").select("key", F.col("a").alias("start"), (F.col("a") + F.col("size")).alias("end"))]
+    span = lambda rows, size: written(rows.select("key", F.col("a").alias("start"), (F.col("a") + size).alias("end")), "repeated-pieces")
+    found = [span(of_repeated(every, grouped), F.col("size"))]
+    dropped(every)
     several = grouped.groupBy("h").count().filter("count > 1").select("h")
     need = grouped.join(several, "h", "left_semi").select("key", "h", "d", "a", "rel", "size")
     cut = F.expr("substring(cast(text as binary), a + 1, size)")
     low, high = F.lit(GRAM - LENGTH).cast("short").alias("low"), F.lit(0).cast("short").alias("high")
     content = written(docs.join(need, "key").select("key", "h", "d", "a", "rel", low, high, cut.alias("piece")).dropDuplicates(["h", "d"]), "piece-contents")
+    dropped(grouped)
     while True:
         large = written(content.groupBy("h").count().filter(F.col("count") > group_limit).select("h"), "large-anchors")
         if large.isEmpty():
-            found.append(compared(content))
+            found.append(written(compared(content), "repeated-parts"))
+            dropped(content)
             break
-        found.append(compared(content.join(large, "h", "left_anti")))
+        found.append(written(compared(content.join(large, "h", "left_anti")), "repeated-parts"))
         every = written(halved(content.join(large, "h", "left_semi").select(*CONTENT.names)), "halved-pieces")
+        dropped(content)
         grouped = every.groupBy("h", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "a")).alias("one"))
         grouped = written(grouped.select("h", "d", "n", "one.*"), "distinct-pieces")
-        twice = grouped.filter("n > 1").select("h", "d")
-        found.append(every.join(twice, ["h", "d"], "left_semi").select("key", F.col("a").alias("start"), (F.col("a") + F.length("piece")).alias("end")))
+        found.append(span(of_repeated(every, grouped), F.length("piece")))
         several = grouped.groupBy("h").count().filter("count > 1").select("h")
         need = grouped.join(several, "h", "left_semi").select("key", "a", "h", "d")
         content = written(every.join(need, ["key", "a", "h", "d"], "left_semi").select(*CONTENT.names), "piece-contents")
+        dropped(every, grouped)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)

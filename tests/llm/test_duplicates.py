@@ -201,6 +201,7 @@ def repeats(seed):
 @pytest.mark.parametrize("limit", [3, 8192])
 def test_suffix_dedup(spark, limit, monkeypatch):
     monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (limit,))
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", limit)
     texts = repeats(limit)
     docs = documents(spark, texts)
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
