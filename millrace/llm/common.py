@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,14 +40,18 @@ def one_machine(master: str) -> bool:
     return master == "local" or master.startswith("local[")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: For rows of megabytes: Parquet's writer looks at its buffers after each row, not after a hundred.
+WIDE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(32 << 20)}
+
+
+def written(df: DataFrame, label: str, wide: bool = False) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: lineage ends there, and lost executors lose nothing.
 
-    The table goes with dropped(), else when the application ends.
+    wide: the rows are large. The table goes with dropped(), else when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(WIDE_ROWS if wide else {})).parquet(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
@@ -83,6 +89,14 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterat
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    trimmed()
+
+
+def trimmed() -> None:
+    """Gives a Python worker's unused memory back to the system; workers live through many tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def texts(batch: pa.RecordBatch) -> list[bytes]:

@@ -41,7 +41,7 @@ WINDOW = 10
 SLOP = 20
 NEAR_TERMS = 4
 NEAR_SHARE = 0.8
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 BLOCK_WORDS = 500_000
 
 #: Bytes that aren't words become spaces, A-Z become a-z.
@@ -263,7 +263,7 @@ def united(parts: list[DataFrame]) -> DataFrame:
 
 def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, proximity: bool = True) -> DataFrame:
     """doc_id, n_words, runs, items, near_items for each document. The index is built once for all blocks of items."""
-    index = written(index_segments(docs), "positions")
+    index = written(index_segments(docs), "positions", wide=True)
     blocks = item_blocks(items, size)
     first = search(index, next(blocks, []), proximity)
     parts = [written(search(index, block, proximity), "hits") for block in blocks]

@@ -7,8 +7,8 @@ summed over the bits, each bit weighted by how well its classifier did in traini
 second codeword's loss is close.
 
 Training takes at most `SAMPLE` texts of each language, those of the smallest xxhash64 of the text (ties by doc_id): a
-bound on the classifier's fit only. A text of the sample is counted whole. Only their feature vectors (`DIM` numbers
-each) come to the driver.
+bound on the classifier's fit only. A text of the sample is counted whole. One task gets their feature vectors (`DIM`
+numbers each) and fits; the driver gets the fitted weights.
 
 Defined results. A null text, or one without a letter, is "und" with score 0. Without a labelled text that has a
 letter, all are "und"; with one language only, all texts with a letter get it, with score 1. Null lang is unlabelled.
@@ -18,6 +18,7 @@ Repeated rows each give a row and are sampled once. Other columns are never inpu
 from __future__ import annotations
 
 import itertools
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,8 @@ DECAY = 1e-4
 AMBIGUOUS = 0.1
 #: Languages beyond this need fewer splits than all of them.
 ALL_SPLITS = 6
+#: Bytes of text at a time.
+CHUNK_BYTES = 1 << 20
 
 PREDICTED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_()), ("second", pa.string())])
 PREDICTED_DDL = "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean, second string"
@@ -98,11 +101,11 @@ def fit(x: np.ndarray, y: list[str]) -> Model:
     target = code[place]
     share = (1 / np.bincount(place))[place][:, None] / len(languages)
     weights, bias = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
-    rate = RATE * 10
+    rate, share = np.float32(RATE * 10), share.astype(np.float32)
     for _ in range(ROUNDS):
         pull = share * target / (1 + np.exp(np.clip(target * (x @ weights + bias), -30, 30)))
-        weights += rate * (x.T @ pull - DECAY * weights)
-        bias += rate * 0.1 * pull.sum(0)
+        weights += rate * (x.T @ pull - np.float32(DECAY) * weights)
+        bias += rate * np.float32(0.1) * pull.sum(0)
     right = (share * (target * (x @ weights + bias) > 0)).sum(0)
     trust = np.clip(2 * right - 1, 0.01, 1)
     return Model(languages, code, weights.astype(np.float32), bias.astype(np.float32), (trust / trust.sum()).astype(np.float32))
@@ -127,11 +130,15 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             if found:
                 yield record(schema, *map(list, zip(*found, strict=True)))
 
-    rows = labelled.mapInArrow(run, "lang string, h long, x binary").dropDuplicates(["lang", "h"]).toArrow().to_pylist()
-    if not rows:
-        return None
-    rows.sort(key=lambda r: (r["lang"], r["h"]))
-    return fit(np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), [r["lang"] for r in rows])
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((lang, h, x) for b in batches for lang, h, x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        if held:
+            model = fit(np.stack([np.frombuffer(x, np.float32) for *_, x in held]), [lang for lang, *_ in held])
+            yield record(pa.schema([("model", pa.binary())]), [pickle.dumps(model)])
+
+    vectors = labelled.mapInArrow(run, "lang string, h long, x binary").dropDuplicates(["lang", "h"])
+    model = vectors.repartition(1).mapInArrow(fitted, "model binary").first()
+    return pickle.loads(model["model"]) if model else None
 
 
 def decide(model: Model | None, texts: list[str | None]) -> list[tuple[str, float, bool, str | None]]:
@@ -157,7 +164,7 @@ def predict(docs: DataFrame, model: Model | None, held_out: Column | None = None
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, CHUNK_BYTES):
             found = decide(sent.value, batch.column("text").to_pylist())
             yield record(PREDICTED, batch.column("doc_id"), batch.column("held_out"), *map(list, zip(*found, strict=True)))
 
@@ -170,7 +177,7 @@ def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, CHUNK_BYTES):
             found = decide(sent.value, batch.column("text").to_pylist())
             yield batch.filter(pa.array([name != UNKNOWN and not close for name, _, close, _ in found], pa.bool_()))
 

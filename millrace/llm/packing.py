@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, record, written
+from .common import chunks, record, trimmed, written
 from .tokens import loaded
 
 CAPACITY = 2048
@@ -59,6 +59,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                     ranks[length] += 1
                 at += n
             yield record(PIECES, *map(list, zip(*out, strict=True)))
+        encoder.forget()
+        trimmed()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES_DDL)
 

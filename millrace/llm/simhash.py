@@ -14,11 +14,12 @@ fingerprints of all documents through the driver, so shards replace that.
 `near_duplicates` serves the corpus pipeline. Texts whose sets of `WIDE_SHINGLE` = 5 word shingles have a Jaccard similarity of
 `SIMILARITY` = 0.8 or more differ in about 10 bits, too many for blocks of bits. There, texts are dealt by `WAYS` least
 shingle hashes (two such texts have one in common with a probability of 1 - 0.2 ** 4), each shard's BK-tree over SimHash
-fingerprints is searched within `WIDE_RADIUS` bits, and the links found are confirmed on the whole sets of shingles,
-skipping those between texts that are already connected, so a group of m costs m - 1 sets compared and not all pairs. A
-shard of over `WIDE_LIMIT` texts is dealt anew by `DEALS` more least hashes, `DEEP` times at most. What is still large is a
-crowd of alike texts: each is compared with one of them, `ROUNDS` times, those that are similar leave, and the rest is
-compared block by block. (A link between one that left and one that stayed can be lost there, which keeps one document too many.)
+fingerprints is searched within `WIDE_RADIUS` bits, links that the `LOW` = 64 least hashes make likely (a share of equal
+ones of 0.6, four standard deviations below 0.8) are confirmed on the whole sets of shingles, skipping those between
+texts that are already connected, so a group of m costs m - 1 sets compared and not all pairs. A shard of over
+`WIDE_LIMIT` texts is a crowd: each is compared with one of them, `ROUNDS` times, and those that are similar leave. What
+is still large is dealt anew by `DEALS` more least hashes, `DEEP` times, and then compared block by block. (A link between
+one that left a crowd and one that stayed can be lost, which keeps one document too many.)
 
 Defined results. Null text is empty text: no words, fingerprint zero, linked like any other. Repeated rows each give a
 row. A null doc_id gets a fingerprint and the component of its fingerprint; the component's name is the smallest
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, record, texts, written
+from .common import chunks, dropped, record, texts, trimmed, written
 
 RADIUS = 3
 SEED = 42
@@ -46,6 +47,10 @@ SHARD_LIMIT = 4096
 WIDE_SHINGLE, SIMILARITY, WIDE_RADIUS = 5, 0.8, 16
 WAYS, DEALS, DEEP, ROUNDS = 4, 3, 2, 4
 WIDE_LIMIT = 512
+#: A text's least shingle hashes that tell whether its whole set is worth comparing, and the share of equal ones from which it is.
+LOW, LIKELY = 64, 0.6
+#: Bytes of text that are sketched at a time.
+SKETCH_BYTES = 1 << 20
 
 FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.int64())])
 EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -294,7 +299,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """row, doc_id, a digest of the words, the fingerprint, number, least hashes and all 32-bit hashes of the distinct shingles; a row for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, SKETCH_BYTES):
             per_doc = [t.lower().split() for t in texts(batch)]
             coded = pa.array(list(itertools.chain.from_iterable(per_doc)), pa.binary()).dictionary_encode()
             own = np.array([xxhash.xxh3_64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()], np.uint64)
@@ -327,21 +332,24 @@ def by_shard(rows: DataFrame, columns: list[str], solve, ddl: str, schema: pa.Sc
         held: list[dict] = []
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                if held and r["shard"] != held[0]["shard"]:
-                    out += solve(held)
-                    held = []
-                held.append(r)
+            for i in range(0, batch.num_rows, 512):
+                for r in batch.slice(i, 512).to_pylist():
+                    if held and r["shard"] != held[0]["shard"]:
+                        out += solve(held)
+                        held = []
+                    held.append(r)
             if out:
                 yield record(schema, *map(list, zip(*out, strict=True)))
         if held and (out := solve(held)):
             yield record(schema, *map(list, zip(*out, strict=True)))
+        trimmed()
 
     return rows.select("shard", *columns).repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(run, ddl)
 
 
-def wide_links(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a shard that lie within the wide radius and whose numbers of shingles allow the similarity, the closest first."""
+def wide_links(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a shard's texts that lie within the wide radius, and whose numbers of shingles allow the similarity, the closest first."""
+    values, sizes = np.array([r["print"] for r in rows]).view(np.uint64), np.array([r["n"] for r in rows])
     distinct, back = np.unique(values, return_inverse=True)
     a, b = tree_links(distinct, np.zeros(len(distinct), np.int64), WIDE_RADIUS)
     members = np.argsort(back, kind="stable")
@@ -364,37 +372,56 @@ def wide_links(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nd
     return left[near], right[near]
 
 
+def likely(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pairs may have the similarity, by the least hashes of their union. low: each text's `LOW` least hashes, ascending, filled up with negative numbers."""
+    low = low.astype(np.int64)
+    left, right = (np.where(low < 0, (1 << k) + np.arange(low.shape[1]), low) for k in (33, 34))
+    v = np.sort(np.concatenate((left[a], right[b]), axis=1), axis=1)
+    again = v[:, 1:] == v[:, :-1]
+    first = np.concatenate((np.ones((len(v), 1), bool), ~again), axis=1)
+    inside = (np.cumsum(first, axis=1) <= low.shape[1]) & (v < 1 << 33)
+    return (again & inside[:, 1:]).sum(axis=1) >= LIKELY * (first & inside).sum(axis=1)
+
+
 def partners(rows: list[dict]) -> list[tuple[int, int]]:
-    """(shard, row) of the texts of a shard that have a possible link."""
+    """(shard, row) of the texts of a shard that have a likely link."""
     if len(rows) < 2:
         return []
-    a, b = wide_links(np.array([r["print"] for r in rows]).view(np.uint64), np.array([r["n"] for r in rows]))
-    return [(rows[0]["shard"], rows[i]["row"]) for i in np.union1d(a, b).tolist()]
+    a, b = wide_links(rows)
+    low = np.full((len(rows), LOW), -1, np.int64)
+    for k, r in enumerate(rows):
+        own = np.frombuffer(r["low"], "<u4")
+        low[k, : len(own)] = own
+    has = np.zeros(len(rows), bool)
+    for i in range(0, len(a), 2048):
+        x, y = a[i : i + 2048], b[i : i + 2048]
+        new = ~(has[x] & has[y])
+        x, y = x[new], y[new]
+        good = likely(low, x, y)
+        has[x[good]] = has[y[good]] = True
+    return [(rows[0]["shard"], rows[i]["row"]) for i in np.flatnonzero(has).tolist()]
 
 
 def confirmed(rows: list[dict]) -> list[tuple[int, int]]:
-    """Links of a shard with the similarity that connect what all of them connect."""
+    """(text, first text of its component) for the texts that the shard's links with the similarity connect."""
     if len(rows) < 2:
         return []
-    a, b = wide_links(np.array([r["print"] for r in rows]).view(np.uint64), np.array([r["n"] for r in rows]))
-    sets, of, out = [np.frombuffer(r["shingles"], "<u4") for r in rows], np.arange(len(rows)), []
+    a, b = wide_links(rows)
+    sets, of = [np.frombuffer(r["shingles"], "<u4") for r in rows], np.arange(len(rows))
     for i in range(0, len(a), 4096):
         apart = i + np.flatnonzero(of[a[i : i + 4096]] != of[b[i : i + 4096]])
         for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
             if of[x] != of[y] and jaccard(sets[x], sets[y]) >= SIMILARITY:
-                out.append((rows[x]["row"], rows[y]["row"]))
-                of[of == of[y]] = of[x]
-    return out
+                low, high = sorted((of[x], of[y]))
+                of[of == high] = low
+    return [(rows[x]["row"], rows[of[x]]["row"]) for x in np.flatnonzero(of != np.arange(len(rows))).tolist()]
 
 
-def wide_edges(reps: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
-    """reps: sketches of distinct texts, a written table. Links (a, b) between rows with the similarity."""
+def wide_edges(reps: DataFrame, sets: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
+    """reps: (row, print, n, least) of distinct texts, sets: (row, shingles) of these or more, both written tables. Links (a, b) between rows with the similarity."""
     shards = pa.schema([("shard", pa.int64()), ("row", pa.int64())])
     found = []
-
-    def settle(keyed: DataFrame) -> None:
-        some = written(by_shard(keyed.join(reps.select("row", "print", "n"), "row"), ["row", "print", "n"], partners, "shard long, row long", shards), "near-partners")
-        found.append(written(by_shard(some.join(reps.select("row", "print", "n", "shingles"), "row"), ["row", "print", "n", "shingles"], confirmed, "a long, b long", EDGES), "near-links"))
+    nodes = written(reps.select("row", "print", "n").join(sets.select("row", F.expr(f"substring(shingles, 1, {4 * LOW})").alias("low")), "row"), "near-lows")
 
     def parted(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The shards of two to limit texts, and the large ones with their number of texts."""
@@ -402,40 +429,53 @@ def wide_edges(reps: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
         large = sized.filter(F.col("count") > limit)
         return keyed.join(sized.filter(F.col("count") <= limit).select("shard"), "shard", "left_semi"), large
 
-    keyed = reps.select("row", F.posexplode(F.slice("least", 1, WAYS)).alias("way", "key")).select(F.xxhash64("way", "key").alias("shard"), "row")
+    def asked(keyed: DataFrame) -> DataFrame:
+        return written(by_shard(keyed.join(nodes, "row"), ["row", "print", "n", "low"], partners, "shard long, row long", shards), "near-partners")
+
+    def settle(some: DataFrame) -> None:
+        found.append(written(by_shard(some.join(nodes.drop("low"), "row").join(sets, "row"), ["row", "print", "n", "shingles"], confirmed, "a long, b long", EDGES), "near-links"))
+        dropped(some)
+
+    keyed = written(reps.select("row", F.posexplode(F.slice("least", 1, WAYS)).alias("way", "key")).select(F.xxhash64("way", "key").alias("shard"), "row"), "near-keys")
     small, large = parted(keyed)
-    settle(small)
-    for level in range(DEEP):
-        if large.isEmpty():
-            break
-        keys = reps.select("row", F.posexplode(F.slice("least", 1 + WAYS + level * DEALS, DEALS)).alias("way", "key"))
-        keyed = written(keyed.join(large.select("shard"), "shard", "left_semi").join(keys, "row").select(F.xxhash64("shard", "way", "key").alias("shard"), "row"), "near-dealt")
-        small, large = parted(keyed)
-        settle(small)
+    some = asked(small)
+    # the sets of those that have a likely link, and of the crowds: the only pass over all sets
+    crowd = keyed.join(large.select("shard"), "shard", "left_semi")
+    need = some.select("row").unionByName(crowd.select("row")).distinct()
+    sets = written(sets.join(need, "row", "left_semi"), "near-sets")
+    settle(some)
+    keyed = crowd
     for _ in range(ROUNDS):
         if large.isEmpty():
             break
         # the crowd of each shard: all are compared with the one of the least hash, and those that are similar leave
         crowd = keyed.join(large.select("shard"), "shard", "left_semi")
         pivots = crowd.groupBy("shard").agg(F.min(F.struct(F.xxhash64("row"), "row"))["row"].alias("pivot"))
-        pivots = written(pivots.join(reps.select(F.col("row").alias("pivot"), F.col("shingles").alias("asked")), "pivot"), "near-pivots")
+        pivots = written(pivots.join(sets.select(F.col("row").alias("pivot"), F.col("shingles").alias("asked")), "pivot"), "near-pivots")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 same = [jaccard(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= SIMILARITY for x, y in zip(batch.column("shingles").to_pylist(), batch.column("asked").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("row"), batch.column("pivot"), pa.array(same, pa.bool_())], names=["shard", "row", "pivot", "same"])
 
-        told = written(crowd.join(pivots, "shard").join(reps.select("row", "shingles"), "row").select("shard", "row", "pivot", "shingles", "asked").mapInArrow(compare, "shard long, row long, pivot long, same boolean"), "near-crowd")
+        told = written(crowd.join(pivots, "shard").join(sets, "row").select("shard", "row", "pivot", "shingles", "asked").mapInArrow(compare, "shard long, row long, pivot long, same boolean"), "near-crowd")
         found.append(told.filter("same AND row != pivot").select(F.col("pivot").alias("a"), F.col("row").alias("b")))
         keyed = told.filter("NOT same").select("shard", "row")
         small, large = parted(keyed)
-        settle(small)
+        settle(asked(small))
+    for level in range(DEEP):
+        if large.isEmpty():
+            break
+        keys = reps.select("row", F.posexplode(F.slice("least", 1 + WAYS + level * DEALS, DEALS)).alias("way", "key"))
+        keyed = written(keyed.join(large.select("shard"), "shard", "left_semi").join(keys, "row").select(F.xxhash64("shard", "way", "key").alias("shard"), "row"), "near-dealt")
+        small, large = parted(keyed)
+        settle(asked(small))
     if not large.isEmpty():
         # blocks of half the limit, each pair of them a shard
         blocks = F.ceil(F.col("count") * 2 / limit).cast("long")
         own = F.pmod(F.xxhash64("row"), F.col("blocks"))
         pairs = keyed.join(large.select("shard", blocks.alias("blocks")), "shard").select("shard", "row", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        settle(pairs.filter("own != other").select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "row"))
+        settle(asked(pairs.filter("own != other").select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "row")))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -446,8 +486,8 @@ def near_duplicates(docs: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
     """doc_id and the smallest doc_id that isn't null of its group, a row for each row: documents connected by similarity, texts of the same words among them."""
     prints = written(sketches(docs), "near-sketches")
     same = written(prints.groupBy("same").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id")), "near-texts")
-    reps = written(prints.join(same.select("row"), "row", "left_semi").select("row", "print", "n", "least", "shingles"), "near-nodes")
-    roots = components(wide_edges(reps, limit))
+    reps = written(prints.select("row", "print", "n", "least").join(same.select("row"), "row", "left_semi"), "near-nodes")
+    roots = components(wide_edges(reps, prints.select("row", "shingles"), limit))
     named = same.join(roots.withColumnRenamed("node", "row"), "row", "left").select("same", "least_id", F.coalesce("root", "row").alias("root"))
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return prints.select("doc_id", "same").join(named.select("same", "root").join(names, "root"), "same").select("doc_id", "component_id")

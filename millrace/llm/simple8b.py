@@ -176,4 +176,4 @@ def decoded(files: DataFrame) -> DataFrame:
 
 def encode_and_read_back(docs: DataFrame, vocabulary: str, special_as_text: bool = False) -> DataFrame:
     """Writes the documents' ids as Simple-8b shards to the shared folder, then returns what the files hold of each document."""
-    return decoded(written(shards(docs, vocabulary, special_as_text=special_as_text), "simple8b"))
+    return decoded(written(shards(docs, vocabulary, special_as_text=special_as_text), "simple8b", wide=True))

@@ -74,6 +74,10 @@ class Ids:
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Empties the memos, for workers that go on to other work."""
+        self.memo, self.older, self.pieces = {}, {}, {}
+
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
