@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 #: Units remembered by a Python worker in each of two generations: when the younger is full it becomes the older.
 #: Bounds memory, not results.
-MEMO_UNITS = 300_000
+MEMO_UNITS = {"byte": 500_000, "word": 300_000}
 #: Longer units aren't remembered.
 MEMO_CHARS = 64
 
@@ -63,7 +63,7 @@ class Ids:
         self.tokenize = self.tokenizer.model.tokenize
         #: The four bytes of each id.
         self.coded = [i.to_bytes(4, "little") for i in range(1 + max(self.tokenizer.get_vocab().values()))]
-        self.kind = kind
+        self.kind, self.room = kind, MEMO_UNITS[kind]
         self.space = " " if kind == "byte" else ""
         self.piece = (BYTE_PIECE if kind == "byte" else WORD_PIECE).findall
         self.shown = {chr(b): x for b, x in enumerate(byte_alphabet()) if b < 128}
@@ -93,7 +93,7 @@ class Ids:
         found = self.pieces.get(piece)
         if found is None:
             found = self.letters(piece)
-            if len(self.pieces) >= MEMO_UNITS // 5:
+            if len(self.pieces) >= self.room // 5:
                 self.pieces.clear()
             if len(piece) <= MEMO_CHARS:
                 self.pieces[piece] = found
@@ -101,7 +101,7 @@ class Ids:
 
     def looked_up(self, units: list[str]) -> list[bytes]:
         """The ids of each unit."""
-        if len(self.memo) >= MEMO_UNITS:
+        if len(self.memo) >= self.room:
             self.older, self.memo = self.memo, {}
         memo, older, tokenize, coded, byte = self.memo, self.older.get, self.tokenize, self.coded, bool(self.space)
         found = list(map(memo.get, units))
