@@ -27,16 +27,16 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, record, texts, written
+from .common import chunks, record, written
 
 END = b""
 HEAD = 100_000
@@ -49,10 +49,10 @@ PASSES = 6
 DELTA = 0.5
 #: Weight of the class frequencies within the transitions.
 BACK_OFF = 5.0
-#: Bytes of text at a time; its tokens are Python objects of several times their size.
-CHUNK_BYTES = 1 << 20
-#: Distinct words that a task counts before it passes them on.
-HELD_WORDS = 100_000
+#: Bytes of text at a time.
+CHUNK_BYTES = 4 << 20
+#: Words that a task counts, each chunk's by themselves, before it sums them and passes them on.
+HELD_WORDS = 400_000
 
 COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 PAIRS = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
@@ -66,26 +66,48 @@ PARTS = pa.schema([("word", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int
 PARTS_DDL = "word binary, row long, doc_id long, held_out boolean, history int, n long, n_tokens long, n_known long, base double, score double"
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words and the end token. bytes.split() parts at the six ASCII white-space characters; bytes.lower() changes A-Z only."""
-    out = text.lower().split()
-    out.append(END)
-    return out
+@dataclass
+class Tokens:
+    """The tokens of a batch's texts, one after another: each text's words and its end."""
+
+    words: pa.Array  # without the ends
+    sizes: np.ndarray  # tokens of each text
+    is_word: np.ndarray  # for each token
+
+
+def tokens(batch: pa.RecordBatch) -> Tokens:
+    """Arrow splits at the six ASCII white-space characters, lower-cases A-Z only, and looks at bytes: other characters, and what is no UTF-8, stay as they are."""
+    text = batch.column("text")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text if pa.types.is_string(text.type) else text.cast(pa.string()), "")))
+    cuts, flat = lists.offsets.to_numpy(), lists.flatten()
+    # space before, after or without words leaves empty strings
+    full = pc.binary_length(flat).to_numpy() > 0
+    sizes = np.diff(np.concatenate(([0], np.cumsum(full)))[cuts - cuts[0]]) + 1
+    is_word = np.ones(int(sizes.sum()), bool)
+    is_word[np.cumsum(sizes) - 1] = False
+    return Tokens(flat.filter(pa.array(full)).cast(pa.binary()), sizes, is_word)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n: exact counts of all tokens of all texts, as a written table."""
 
+    def merged(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held:
+            sums = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            for batch in sums.select(["word", "n_sum"]).rename_columns(COUNTS.names).cast(COUNTS).to_batches():
+                yield batch
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[bytes] = Counter()
+        held: list[pa.RecordBatch] = []
         for batch in chunks(batches, CHUNK_BYTES):
-            for text in texts(batch):
-                count.update(tokens(text))
-            if len(count) >= HELD_WORDS:
-                yield record(COUNTS, list(count), list(count.values()))
-                count.clear()
-        if count:
-            yield record(COUNTS, list(count), list(count.values()))
+            own = tokens(batch)
+            coded = own.words.dictionary_encode()
+            held.append(record(COUNTS, coded.dictionary, pa.array(np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)))))
+            held.append(record(COUNTS, [END], [len(own.sizes)]))
+            if sum(x.num_rows for x in held) >= HELD_WORDS:
+                yield from merged(held)
+                held = []
+        yield from merged(held)
 
     partial = docs.select("text").mapInArrow(run, "word binary, n long")
     return written(partial.groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
@@ -99,10 +121,15 @@ def head_of(counts: DataFrame) -> tuple[dict[bytes, int], np.ndarray]:
     return {w: i for i, w in enumerate(words)}, np.array([*top.column("n").to_pylist(), ends["n"] if ends else 0], np.int64)
 
 
-def placed(batch: pa.RecordBatch, head: dict[bytes, int]) -> tuple[list[bytes], np.ndarray]:
-    """All tokens of a batch, and their places in the head, -1 outside it."""
-    flat = [t for text in texts(batch) for t in tokens(text)]
-    return flat, np.fromiter(map(head.get, flat, itertools.repeat(-1)), np.int32, len(flat))
+def listed(head: dict[bytes, int]) -> pa.Array:
+    return pa.array(list(head), pa.binary())
+
+
+def placed(own: Tokens, known: pa.Array) -> np.ndarray:
+    """All tokens' places in the head, -1 outside it. known: the head's words by place, END the last."""
+    place = np.full(len(own.is_word), len(known) - 1, np.int32)
+    place[own.is_word] = pc.fill_null(pc.index_in(own.words, value_set=known), -1).to_numpy()
+    return place
 
 
 def summed(pairs: DataFrame, size: int) -> np.ndarray:
@@ -118,10 +145,10 @@ def unit_bigrams(docs: DataFrame, head: dict[bytes, int], unit: np.ndarray) -> n
     sent, size = docs.sparkSession.sparkContext.broadcast((head, unit)), int(unit.max()) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, of = sent.value
-        end, total = of[known[END]], np.zeros(size * size, np.int64)
+        known, of = listed(sent.value[0]), sent.value[1]
+        end, total = of[len(known) - 1], np.zeros(size * size, np.int64)
         for batch in chunks(batches, CHUNK_BYTES):
-            units = of[placed(batch, known)[1]].astype(np.int64)
+            units = of[placed(tokens(batch), known)].astype(np.int64)
             pair, n = np.unique(np.concatenate(([end], units[:-1])) * size + units, return_counts=True)
             total[pair] += n
         yield from pair_rows(total)
@@ -235,10 +262,10 @@ def head_contexts(docs: DataFrame, head: dict[bytes, int], class_of: np.ndarray,
     sent = docs.sparkSession.sparkContext.broadcast((head, class_of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, of = sent.value
+        known, of = listed(sent.value[0]), sent.value[1]
         total = np.zeros((len(known) - 1) * 2 * size, np.uint32)
         for batch in chunks(batches, CHUNK_BYTES):
-            place = placed(batch, known)[1]
+            place = placed(tokens(batch), known)
             classes = of[place].astype(np.int64)
             at = np.flatnonzero((place >= seeds) & (place < len(known) - 1))
             before = np.concatenate(([END_CLASS], classes[:-1]))
@@ -259,19 +286,20 @@ def rare_contexts(docs: DataFrame, head: dict[bytes, int], class_of: np.ndarray,
     sent = docs.sparkSession.sparkContext.broadcast((head, class_of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, of = sent.value
+        known, of = listed(sent.value[0]), sent.value[1]
         total = np.zeros(size * size, np.int64)
         for batch in chunks(batches, CHUNK_BYTES):
-            flat, place = placed(batch, known)
+            own = tokens(batch)
+            place = placed(own, known)
             classes = of[place].astype(np.int64)
             before = np.concatenate(([END_CLASS], classes[:-1]))
             total += np.bincount(before * size + classes, minlength=size * size)
             at = np.flatnonzero(place < 0)
-            number: dict[bytes, int] = {}
-            owner = np.fromiter((number.setdefault(flat[i], len(number)) for i in at.tolist()), np.int64, len(at))
             if len(at):
-                entries = packed_entries(np.concatenate((owner, owner)), np.concatenate((before[at], size + classes[at + 1])), len(number), 2 * size)
-                yield record(CONTEXTS, pa.nulls(len(number), pa.int32()), list(number), entries, pa.nulls(len(number), pa.int64()), pa.nulls(len(number), pa.int64()))
+                rare = own.words.filter(pa.array(place[own.is_word] < 0)).dictionary_encode()
+                owner, k = rare.indices.to_numpy(), len(rare.dictionary)
+                entries = packed_entries(np.concatenate((owner, owner)), np.concatenate((before[at], size + classes[at + 1])), k, 2 * size)
+                yield record(CONTEXTS, pa.nulls(k, pa.int32()), rare.dictionary, entries, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()))
         for pairs in pair_rows(total):
             k = pairs.num_rows
             yield record(CONTEXTS, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pairs.column("pair"), pairs.column("n"))
@@ -384,11 +412,12 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
+        head = listed(known.head)
         # one place more, for all words outside the head
         emitted, counted = np.append(np.log10(known.counts + DELTA), 0.0), np.append(known.counts > 0, False).astype(np.int64)
         for batch in chunks(batches, CHUNK_BYTES):
-            sizes = np.array([len(tokens(t)) for t in texts(batch)])
-            flat, at = placed(batch, known.head)
+            own_tokens = tokens(batch)
+            sizes, at = own_tokens.sizes, placed(own_tokens, head)
             of = known.class_of[at]
             before = np.concatenate(([END_CLASS], of[:-1]))
             firsts = np.cumsum(sizes) - sizes
@@ -402,12 +431,14 @@ def score(docs: DataFrame, model: Model, words: DataFrame) -> DataFrame:
             zeros = [0] * len(rows)
             # the document's own sums, under a key that is no word and differs by document
             yield record(PARTS, [b" %d" % r for r in rows], rows, ids, held, zeros, zeros, pa.array(sizes), pa.array(n_known), pa.array(base), pa.array(total))
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            seldom = Counter(zip(owner[rare].tolist(), before[rare].tolist(), [flat[i] for i in rare.tolist()], strict=True))
-            if seldom:
-                doc, history, word = zip(*seldom, strict=True)
-                none = [None] * len(doc)
-                yield record(PARTS, list(word), [rows[d] for d in doc], [ids[d] for d in doc], [held[d] for d in doc], list(history), list(seldom.values()), none, none, none, none)
+            if len(rare):
+                seldom = own_tokens.words.filter(pa.array(at[own_tokens.is_word] < 0)).dictionary_encode()
+                owner, histories, kinds = np.repeat(np.arange(len(sizes)), sizes)[rare], len(known.transition), len(seldom.dictionary)
+                group, n = np.unique((owner * histories + before[rare]) * kinds + seldom.indices.to_numpy(), return_counts=True)
+                rest, word = np.divmod(group, kinds)
+                doc, history = np.divmod(rest, histories)
+                none, doc = [None] * len(doc), pa.array(doc)
+                yield record(PARTS, seldom.dictionary.take(pa.array(word)), *(batch.column(c).take(doc) for c in ("row", "doc_id", "held_out")), pa.array(history, pa.int32()), pa.array(n), none, none, none, none)
 
     # log10 of what a word outside the head gets from a history and its class, but for its own count; class -1 is that of unknown words
     size = len(model.transition)
