@@ -125,7 +125,9 @@ class Ids:
         return found
 
     def after_space(self, unit: str) -> bytes:
-        if self.kind == "byte" and unit[:1] == "\n":
+        if self.kind == "word":
+            return self.unit(unit, "")
+        if unit[:1] == "\n":
             return self.piece_ids("\n") + self.unit(unit[1:], "")
         return self.unit(unit[1:], "") if unit[:1] == self.FIRST else self.unit(unit, self.space)
 

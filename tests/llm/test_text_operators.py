@@ -38,7 +38,7 @@ def by_id(df):
 def test_token_ids_are_exact():
     random.seed(5)
     mixed = ["".join(random.choice(["a", "B", " ", "\n", "é", "1", ".", "'s", "\t", "ʼ", "ß", "  ", "語", "Ω", "-"]) for _ in range(40)) for _ in range(400)]
-    mixed += ["".join(random.choice(["a", "Bc", " ", "\n", "é", "1", ".", "'s", "'", " x", "**", "<|endoftext|>"]) for _ in range(random.randrange(30))) for _ in range(400)]
+    mixed += ["".join(random.choice(["a", "Bc", " ", "\n", "é", "1", ".", "'s", "'", " x", "**", "É,", "µ", "\0", "<|endoftext|>"]) for _ in range(random.randrange(30))) for _ in range(400)]
     for name, kind in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
         ids, library = Ids(vocabulary(name), kind), Tokenizer.from_file(vocabulary(name))
         for text in [t for t in TEXTS if t] + mixed:
