@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from codecs import charmap_decode
 
 import numpy as np
 import pyarrow as pa
@@ -66,10 +67,7 @@ class Ids:
         self.kind, self.room = kind, MEMO_UNITS[kind]
         self.space = " " if kind == "byte" else ""
         self.piece = (BYTE_PIECE if kind == "byte" else WORD_PIECE).findall
-        self.shown = {chr(b): x for b, x in enumerate(byte_alphabet()) if b < 128}
-        for c in range(0x80, 0x100):
-            self.shown[chr(c)] = "".join(byte_alphabet()[b] for b in chr(c).encode())
-        self.table = str.maketrans(self.shown)
+        self.shown = "".join(byte_alphabet())
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -86,7 +84,7 @@ class Ids:
         if self.kind == "word":
             piece = piece.lower()
         coded = self.coded
-        return b"".join([coded[t.id] for t in self.tokenize(piece if piece.isalpha() and piece.isascii() else piece.translate(self.table))])
+        return b"".join([coded[t.id] for t in self.tokenize(piece if piece.isalpha() and piece.isascii() else charmap_decode(piece.encode(), "strict", self.shown)[0])])
 
     def piece_ids(self, piece: str) -> bytes:
         """The ids of a piece that is no word, such as a run of marks."""
@@ -103,25 +101,25 @@ class Ids:
         """The ids of each unit."""
         if len(self.memo) >= self.room:
             self.older, self.memo = self.memo, {}
-        memo, older, tokenize, coded, byte = self.memo, self.older.get, self.tokenize, self.coded, bool(self.space)
+        memo, older, letters, space, marks = self.memo, self.older.get, self.letters, self.space, self.piece_ids
         found = list(map(memo.get, units))
         for i, ids in enumerate(found):
             if ids is not None:
                 continue
             unit = units[i]
-            ids = older(unit)
+            # words are remembered without the marks behind them, which are a piece of their own
+            word = unit.rstrip(MARKS)
+            plain = word.isalpha() and (word.isascii() or max(word) < "Ā")
+            if not plain:
+                word = unit
+            ids = memo.get(word)
             if ids is None:
-                # an ASCII word with or without marks the short way, all else as the rest of the class has it
-                word = unit.rstrip(MARKS)
-                if word.isascii() and word.isalpha():
-                    ids = b"".join([coded[t.id] for t in tokenize(f"Ġ{word}" if byte else word.lower())])
-                    if len(word) != len(unit):
-                        ids += self.piece_ids(unit[len(word) :])
-                else:
-                    ids = self.after_space(unit)
-            if len(unit) <= MEMO_CHARS:
-                memo[unit] = ids
-            found[i] = ids
+                ids = older(word)
+                if ids is None:
+                    ids = letters(space + word) if plain else self.after_space(unit)
+                if len(word) <= MEMO_CHARS:
+                    memo[word] = ids
+            found[i] = ids if len(word) == len(unit) else ids + marks(unit[len(word) :])
         return found
 
     def after_space(self, unit: str) -> bytes:
@@ -129,7 +127,7 @@ class Ids:
             return self.unit(unit, "")
         if unit[:1] == "\n":
             return self.piece_ids("\n") + self.unit(unit[1:], "")
-        return self.unit(unit[1:], "") if unit[:1] == self.FIRST else self.unit(unit, self.space)
+        return self.unit(unit[1:], "") if unit[:1] == self.FIRST else self.unit(unit, " ")
 
     def unit(self, core: str, space: str) -> bytes:
         """The ids of a unit behind a space (or nothing)."""
