@@ -11,15 +11,17 @@ forest of the links that it found (at most a row for each node), and the forests
 A tree travels with its shard to the task that searches it. Broadcasting all trees, at once or in waves, would take the
 fingerprints of all documents through the driver, so shards replace that.
 
-`near_duplicates` serves the corpus pipeline. Texts whose sets of `WIDE_SHINGLE` = 5 word shingles have a Jaccard similarity of
-`SIMILARITY` = 0.8 or more differ in about 10 bits, too many for blocks of bits. There, texts are dealt by `WAYS` least
-shingle hashes (two such texts have one in common with a probability of 1 - 0.2 ** 4), each shard's BK-tree over SimHash
-fingerprints is searched within `WIDE_RADIUS` bits, links that the `LOW` = 64 least hashes make likely (a share of equal
-ones of 0.6, four standard deviations below 0.8) are confirmed on the whole sets of shingles, skipping those between
-texts that are already connected, so a group of m costs m - 1 sets compared and not all pairs. A shard of over
-`WIDE_LIMIT` texts is a crowd: each is compared with one of them, `ROUNDS` times, and those that are similar leave. What
-is still large is dealt anew by `DEALS` more least hashes, `DEEP` times, and then compared block by block. (A link between
-one that left a crowd and one that stayed can be lost, which keeps one document too many.)
+`near_duplicates` serves the corpus pipeline: it connects all texts whose sets of `WIDE_SHINGLE` = 5 word shingles, as hashes of 64
+bits, have a Jaccard similarity of `SIMILARITY` = 0.8 or more. First, texts are dealt by `WAYS` least shingle hashes, each
+shard's BK-tree over SimHash fingerprints is searched within `WIDE_RADIUS` bits, and a spanning forest of the links found is
+confirmed on the whole sets. That brings nearly all groups together, at m - 1 sets compared for a group of m, but can miss links:
+a shard of over `WIDE_LIMIT` texts is cut by chance, and the forest may hold links that aren't confirmed.
+
+Then comes an exact step. Sets are written in one order of all shingles, frequent ones last (any order will do; which are frequent is
+read off a sample). Of two sets that are similar, the first n - ceil(0.8 n) + 1 of each have a shingle in common. All these
+prefixes are gathered by shingle. Where texts of different components share one, all such pairs are compared, block by block if there are
+many: by their sizes and by parity bitmaps, whose differing bits are never more than the shingles in which the sets differ, so that
+no similar pair is passed over, and then on the whole sets. Only the pairs that pass the bitmaps move sets.
 
 Defined results. Null text is empty text: no words, fingerprint zero, linked like any other. Repeated rows each give a
 row. A null doc_id gets a fingerprint and the component of its fingerprint; the component's name is the smallest
@@ -45,10 +47,16 @@ SHINGLE = 3
 SHARD_LIMIT = 4096
 
 WIDE_SHINGLE, SIMILARITY, WIDE_RADIUS = 5, 0.8, 16
-WAYS, DEALS, DEEP, ROUNDS = 4, 3, 2, 4
+WAYS = 4
 WIDE_LIMIT = 512
-#: A text's least shingle hashes that tell whether its whole set is worth comparing, and the share of equal ones from which it is.
-LOW, LIKELY = 64, 0.6
+#: About so many texts tell which shingles are frequent: those of OFTEN of them, FREQUENT at most.
+SAMPLE, OFTEN, FREQUENT = 10_000, 6, 200_000
+#: The most bits of a parity bitmap.
+PARITY_BITS = 1 << 14
+#: Shingles of prefixes that a task gathers at a time.
+BUCKET = 250_000
+#: Up to so many rows whose sets are asked for are broadcast.
+FEW_ROWS = 2_000_000
 #: Bytes of text that are sketched at a time.
 SKETCH_BYTES = 1 << 20
 
@@ -265,10 +273,12 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
     return prints.join(known, "fingerprint").select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
-SKETCHES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("same", pa.binary()), ("print", pa.int64()), ("n", pa.int32()), ("least", pa.list_(pa.int64())), ("shingles", pa.binary())])
-SKETCHES_DDL = "row long, doc_id long, same binary, print long, n int, least array<long>, shingles binary"
+SKETCHES = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("same", pa.binary()), ("print", pa.int64()), ("n", pa.int32()), ("least", pa.list_(pa.int64())), ("parity", pa.binary()), ("shingles", pa.binary())])
+SKETCHES_DDL = "row long, doc_id long, same binary, print long, n int, least array<long>, parity binary, shingles binary"
+BUCKETS = pa.schema([("bucket", pa.int64()), ("base", pa.int64()), ("shingles", pa.binary()), ("rows", pa.binary())])
+SHARED = pa.schema([("shingle", pa.int64()), ("row", pa.int64())])
 #: Odd multipliers of the least hashes, a fixed series.
-MULTIPLIERS = (np.random.default_rng(SEED).integers(0, 1 << 63, WAYS + DEEP * DEALS, np.uint64) << np.uint64(1)) | np.uint64(1)
+MULTIPLIERS = (np.random.default_rng(SEED).integers(0, 1 << 63, WAYS, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -295,21 +305,52 @@ def least_hashes(hashes: np.ndarray) -> list[int]:
     return least.view(np.int64).tolist()
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """row, doc_id, a digest of the words, the fingerprint, number, least hashes and all 32-bit hashes of the distinct shingles; a row for each row."""
+def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Each text's words and distinct shingle hashes, ascending."""
+    per_doc = [t.lower().split() for t in texts(batch)]
+    coded = pa.array(list(itertools.chain.from_iterable(per_doc)), pa.binary()).dictionary_encode()
+    own = np.array([xxhash.xxh3_64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()], np.uint64)
+    words, at = own[coded.indices.to_numpy()], 0
+    for w in per_doc:
+        yield w, shingle_hashes(words[at : at + len(w)])
+        at += len(w)
+
+
+def frequent_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles that many texts of a sample hold, ascending. They only decide the order of shingles, so a sample loses nothing."""
+    every = max(1, docs.count() // SAMPLE)
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0)
+    schema = pa.schema([("shingle", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, SKETCH_BYTES):
+            yield record(schema, pa.array(np.concatenate([h for _, h in shingle_sets(batch)]).view(np.int64)))
+
+    counts = sample.select("text").mapInArrow(run, "shingle long").groupBy("shingle").count().filter(F.col("count") >= OFTEN)
+    return np.sort(np.array([r["shingle"] for r in counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect()], np.int64).view(np.uint64))
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """Bit by bit, of the shingles that fall on it the parity: as many bits as shingles, to the next power of two."""
+    bits = min(max(64, 1 << (max(len(hashes), 1) - 1).bit_length()), PARITY_BITS)
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """row, doc_id, a digest of the words, the fingerprint, number, least hashes and parity bitmap of the distinct shingles, and all of them, the frequent ones last; a row for each row."""
+
+    def ordered(h: np.ndarray) -> np.ndarray:
+        if not len(frequent):
+            return h
+        often = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
+        return np.concatenate((h[~often], h[often]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, SKETCH_BYTES):
-            per_doc = [t.lower().split() for t in texts(batch)]
-            coded = pa.array(list(itertools.chain.from_iterable(per_doc)), pa.binary()).dictionary_encode()
-            own = np.array([xxhash.xxh3_64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()], np.uint64)
-            words = own[coded.indices.to_numpy()]
-            out, at = [], 0
-            for row, doc_id, w in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), per_doc, strict=True):
-                h = shingle_hashes(words[at : at + len(w)])
-                at += len(w)
+            out = []
+            for row, doc_id, (w, h) in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), shingle_sets(batch), strict=True):
                 value = majority(h)
-                out.append((row, doc_id, xxhash.xxh3_128_digest(b" ".join(w), SEED), value - (1 << 64) if value >> 63 else value, len(h), least_hashes(h), np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()))
+                out.append((row, doc_id, xxhash.xxh3_128_digest(b" ".join(w), SEED), value - (1 << 64) if value >> 63 else value, len(h), least_hashes(h), parity(h), ordered(h).astype("<u8").tobytes()))
             if out:
                 yield record(SKETCHES, *map(list, zip(*out, strict=True)))
 
@@ -317,11 +358,10 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """The similarity of two ascending sets; two empty ones are alike."""
+    """The similarity of two sets; two empty ones are alike."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    both = int((b[at] == a).sum())
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
 
@@ -366,131 +406,205 @@ def wide_links(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
         left, right = members[first[x] : first[x + 1]], members[first[y] : first[y + 1]]
         pairs.append((np.repeat(left, len(right)), np.tile(right, len(left))))
     left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    fits = np.minimum(sizes[left], sizes[right]) >= SIMILARITY * np.maximum(sizes[left], sizes[right])
+    fits = sized(sizes, left, right)
     left, right = left[fits], right[fits]
     near = np.argsort(np.bitwise_count(values[left] ^ values[right]), kind="stable")
     return left[near], right[near]
 
 
-def likely(low: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether pairs may have the similarity, by the least hashes of their union. low: each text's `LOW` least hashes, ascending, filled up with negative numbers."""
-    low = low.astype(np.int64)
-    left, right = (np.where(low < 0, (1 << k) + np.arange(low.shape[1]), low) for k in (33, 34))
-    v = np.sort(np.concatenate((left[a], right[b]), axis=1), axis=1)
-    again = v[:, 1:] == v[:, :-1]
-    first = np.concatenate((np.ones((len(v), 1), bool), ~again), axis=1)
-    inside = (np.cumsum(first, axis=1) <= low.shape[1]) & (v < 1 << 33)
-    return (again & inside[:, 1:]).sum(axis=1) >= LIKELY * (first & inside).sum(axis=1)
+def sized(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the numbers of shingles of pairs allow the similarity."""
+    return 5 * np.minimum(n[a], n[b]).astype(np.int64) >= 4 * np.maximum(n[a], n[b]).astype(np.int64)
 
 
-def partners(rows: list[dict]) -> list[tuple[int, int]]:
-    """(shard, row) of the texts of a shard that have a likely link."""
-    if len(rows) < 2:
-        return []
-    a, b = wide_links(rows)
-    low = np.full((len(rows), LOW), -1, np.int64)
-    for k, r in enumerate(rows):
-        own = np.frombuffer(r["low"], "<u4")
-        low[k, : len(own)] = own
-    has = np.zeros(len(rows), bool)
-    for i in range(0, len(a), 2048):
-        x, y = a[i : i + 2048], b[i : i + 2048]
-        new = ~(has[x] & has[y])
-        x, y = x[new], y[new]
-        good = likely(low, x, y)
-        has[x[good]] = has[y[good]] = True
-    return [(rows[0]["shard"], rows[i]["row"]) for i in np.flatnonzero(has).tolist()]
-
-
-def confirmed(rows: list[dict]) -> list[tuple[int, int]]:
-    """(text, first text of its component) for the texts that the shard's links with the similarity connect."""
+def folded(bitmap: bytes, size: int) -> np.ndarray:
+    """A parity bitmap as one of fewer bytes."""
+    out = np.frombuffer(bitmap, "<u8")
+    while len(out) * 8 > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def possible(n: np.ndarray, bitmaps: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether pairs may have the similarity: their sets then differ in a ninth of their sizes' sum at most, and their bitmaps in no more bits."""
+    out, size = np.zeros(len(a), bool), np.array([len(m) for m in bitmaps], np.int64)
+    least = np.minimum(size[a], size[b])
+    for s in np.unique(least).tolist():
+        of = np.flatnonzero(least == s)
+        members = np.unique(np.concatenate((a[of], b[of])))
+        own = np.stack([folded(bitmaps[i], s) for i in members.tolist()])
+        step = max(1, (1 << 20) // (s // 8))
+        for i in range(0, len(of), step):
+            x, y = a[of[i : i + step]], b[of[i : i + step]]
+            far = np.bitwise_count(own[np.searchsorted(members, x)] ^ own[np.searchsorted(members, y)]).sum(axis=1, dtype=np.int64)
+            out[of[i : i + step]] = 9 * far <= n[x].astype(np.int64) + n[y]
+    return out
+
+
+def likely(rows: list[dict]) -> list[tuple[int, int]]:
+    """A spanning forest of a shard's links within the wide radius that the bitmaps allow."""
     if len(rows) < 2:
         return []
     a, b = wide_links(rows)
-    sets, of = [np.frombuffer(r["shingles"], "<u4") for r in rows], np.arange(len(rows))
-    for i in range(0, len(a), 4096):
-        apart = i + np.flatnonzero(of[a[i : i + 4096]] != of[b[i : i + 4096]])
-        for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
-            if of[x] != of[y] and jaccard(sets[x], sets[y]) >= SIMILARITY:
-                low, high = sorted((of[x], of[y]))
-                of[of == high] = low
-    return [(rows[x]["row"], rows[of[x]]["row"]) for x in np.flatnonzero(of != np.arange(len(rows))).tolist()]
+    good = possible(np.array([r["n"] for r in rows]), [r["parity"] for r in rows], a, b)
+    of, out = np.arange(len(rows)), []
+    for x, y in zip(a[good].tolist(), b[good].tolist(), strict=True):
+        if of[x] != of[y]:
+            low, high = sorted((of[x], of[y]))
+            of[of == high] = low
+            out.append((max(rows[x]["row"], rows[y]["row"]), min(rows[x]["row"], rows[y]["row"])))
+    return out
+
+
+def sharing(sets: DataFrame, total: int) -> DataFrame:
+    """sets: row, same, n and shingles, total: the length of all prefixes. (shingle, row) of the shingles that the prefixes of two or more hold; of texts of the same words at least the one of the smallest row."""
+    buckets = total // BUCKET + 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy().astype(np.int64)
+            row, sets = batch.column("row").to_numpy(), batch.column("shingles")
+            first: dict[bytes, int] = {}
+            for r, d in zip(row.tolist(), batch.column("same").to_pylist(), strict=True):
+                first[d] = min(r, first.get(d, r))
+            once = np.isin(row, np.fromiter(first.values(), np.int64, len(first)))
+            size = np.where((n > 0) & once, n // 5 + 1, 0)  # n - ceil(4 n / 5) + 1
+            for part in np.unique(row >> 33).tolist():
+                of = np.flatnonzero((row >> 33 == part) & (size > 0))
+                if not len(of):
+                    continue
+                h = np.concatenate([np.frombuffer(sets[i].as_buffer(), "<u8", k) for i, k in zip(of.tolist(), size[of].tolist(), strict=True)])
+                base, at = part << 33, np.repeat(row[of] - (part << 33), size[of]).astype("<u4")
+                to = (mixed(h) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                cut = np.searchsorted(to[order], np.arange(buckets + 1))
+                h, at = h[order], at[order]
+                full = np.flatnonzero(np.diff(cut)).tolist()
+                yield record(BUCKETS, full, [base] * len(full), [h[cut[k] : cut[k + 1]].tobytes() for k in full], [at[cut[k] : cut[k + 1]].tobytes() for k in full])
+        trimmed()
+
+    def shared(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        h = np.concatenate([np.frombuffer(x, "<u8") for _, x, _ in rows])
+        row = np.concatenate([np.frombuffer(y, "<u4").astype(np.int64) + base for base, _, y in rows])
+        order = np.argsort(h, kind="stable")
+        h, row = h[order], row[order]
+        again = h[1:] == h[:-1]
+        several = np.concatenate((again, [False])) | np.concatenate(([False], again))
+        return record(SHARED, pa.array(h[several].view(np.int64)), pa.array(row[several]))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for batch in batches:
+            for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+                if held and bucket != now:
+                    yield shared(held)
+                    held = []
+                now = bucket
+                held.append(tuple(batch.column(c)[i].as_py() for c in ("base", "shingles", "rows")))
+        if held:
+            yield shared(held)
+        trimmed()
+
+    # a prefix only goes to Python
+    prefix = F.expr("substring(shingles, 1, 8 * (n div 5 + 1))").alias("shingles")
+    dealt = sets.select("row", "same", "n", prefix).mapInArrow(deal, "bucket long, base long, shingles binary, rows binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "shingle long, row long")
+
+
+def pairs_apart(rows: DataFrame) -> DataFrame:
+    """rows: shard, row, root, n, parity. (a, b) of a shard's texts of different roots that the bitmaps allow; a shard is held whole."""
+
+    def solve(shard: np.ndarray, row: np.ndarray, root: np.ndarray, n: np.ndarray, bitmaps: list[bytes]) -> Iterator[pa.RecordBatch]:
+        first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
+        count = np.diff(np.append(first, len(shard)))
+        for size in np.unique(count[count > 1]).tolist():
+            i, j = np.triu_indices(size, 1)
+            starts, step = first[count == size], max(1, (1 << 18) // len(i))
+            for k in range(0, len(starts), step):
+                a, b = ((starts[k : k + step, None] + x).ravel() for x in (i, j))
+                fits = (root[a] != root[b]) & sized(n, a, b)
+                a, b = a[fits], b[fits]
+                if len(a):
+                    good = possible(n, bitmaps, a, b)
+                    a, b = row[a[good]], row[b[good]]
+                    yield record(EDGES, pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bitmaps = [np.zeros(0, np.int64)] * 4, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = [np.concatenate((h, batch.column(c).to_numpy().astype(np.int64))) for h, c in zip(held, ("shard", "row", "root", "n"), strict=True)]
+            bitmaps += batch.column("parity").to_pylist()
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            if cut:
+                yield from solve(*(x[:cut] for x in held), bitmaps[:cut])
+                held, bitmaps = [x[cut:] for x in held], bitmaps[cut:]
+        if len(bitmaps):
+            yield from solve(*held, bitmaps)
+        trimmed()
+
+    return rows.select("shard", "row", "root", "n", "parity").repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(run, "a long, b long")
 
 
 def wide_edges(reps: DataFrame, sets: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
-    """reps: (row, print, n, least) of distinct texts, sets: (row, shingles) of these or more, both written tables. Links (a, b) between rows with the similarity."""
-    shards = pa.schema([("shard", pa.int64()), ("row", pa.int64())])
-    found = []
-    nodes = written(reps.select("row", "print", "n").join(sets.select("row", F.expr(f"substring(shingles, 1, {4 * LOW})").alias("low")), "row"), "near-lows")
-
-    def parted(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The shards of two to limit texts, and the large ones with their number of texts."""
-        sized = written(keyed.groupBy("shard").count().filter("count > 1"), "near-shards")
-        large = sized.filter(F.col("count") > limit)
-        return keyed.join(sized.filter(F.col("count") <= limit).select("shard"), "shard", "left_semi"), large
-
-    def asked(keyed: DataFrame) -> DataFrame:
-        return written(by_shard(keyed.join(nodes, "row"), ["row", "print", "n", "low"], partners, "shard long, row long", shards), "near-partners")
-
-    def settle(some: DataFrame) -> None:
-        found.append(written(by_shard(some.join(nodes.drop("low"), "row").join(sets, "row"), ["row", "print", "n", "shingles"], confirmed, "a long, b long", EDGES), "near-links"))
-        dropped(some)
-
-    keyed = written(reps.select("row", F.posexplode(F.slice("least", 1, WAYS)).alias("way", "key")).select(F.xxhash64("way", "key").alias("shard"), "row"), "near-keys")
-    small, large = parted(keyed)
-    some = asked(small)
-    # the sets of those that have a likely link, and of the crowds: the only pass over all sets
-    crowd = keyed.join(large.select("shard"), "shard", "left_semi")
-    need = some.select("row").unionByName(crowd.select("row")).distinct()
-    sets = written(sets.join(need, "row", "left_semi"), "near-sets")
-    settle(some)
-    keyed = crowd
-    for _ in range(ROUNDS):
-        if large.isEmpty():
-            break
-        # the crowd of each shard: all are compared with the one of the least hash, and those that are similar leave
-        crowd = keyed.join(large.select("shard"), "shard", "left_semi")
-        pivots = crowd.groupBy("shard").agg(F.min(F.struct(F.xxhash64("row"), "row"))["row"].alias("pivot"))
-        pivots = written(pivots.join(sets.select(F.col("row").alias("pivot"), F.col("shingles").alias("asked")), "pivot"), "near-pivots")
+    """reps: (row, print, n, least, parity) of distinct texts, sets: (row, same, n, shingles) of these or more, both written tables. Links (a, b) between rows with the similarity, which connect all that it connects."""
+    nodes = reps.select("row", "print", "n", "parity")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs that have the similarity."""
+        pairs = written(pairs.distinct(), "near-pairs")
+        need = written(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "near-asked")
+        few = need.count() <= FEW_ROWS
+        own = written(sets.select("row", "shingles").join(F.broadcast(need) if few else need, "row", "left_semi"), "near-sets", wide=True)
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                same = [jaccard(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) >= SIMILARITY for x, y in zip(batch.column("shingles").to_pylist(), batch.column("asked").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("row"), batch.column("pivot"), pa.array(same, pa.bool_())], names=["shard", "row", "pivot", "same"])
-
-        told = written(crowd.join(pivots, "shard").join(sets, "row").select("shard", "row", "pivot", "shingles", "asked").mapInArrow(compare, "shard long, row long, pivot long, same boolean"), "near-crowd")
-        found.append(told.filter("same AND row != pivot").select(F.col("pivot").alias("a"), F.col("row").alias("b")))
-        keyed = told.filter("NOT same").select("shard", "row")
-        small, large = parted(keyed)
-        settle(asked(small))
-    for level in range(DEEP):
-        if large.isEmpty():
-            break
-        keys = reps.select("row", F.posexplode(F.slice("least", 1 + WAYS + level * DEALS, DEALS)).alias("way", "key"))
-        keyed = written(keyed.join(large.select("shard"), "shard", "left_semi").join(keys, "row").select(F.xxhash64("shard", "way", "key").alias("shard"), "row"), "near-dealt")
-        small, large = parted(keyed)
-        settle(asked(small))
-    if not large.isEmpty():
-        # blocks of half the limit, each pair of them a shard
-        blocks = F.ceil(F.col("count") * 2 / limit).cast("long")
-        own = F.pmod(F.xxhash64("row"), F.col("blocks"))
-        pairs = keyed.join(large.select("shard", blocks.alias("blocks")), "shard").select("shard", "row", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        settle(asked(pairs.filter("own != other").select(F.xxhash64("shard", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "row")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+                same = [jaccard(*(np.frombuffer(v.as_buffer(), "<u8") for v in pair)) >= SIMILARITY for pair in zip(batch.column("left"), batch.column("right"), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+            trimmed()
+
+        both = pairs.join(own.select(F.col("row").alias("a"), F.col("shingles").alias("left")), "a").join(own.select(F.col("row").alias("b"), F.col("shingles").alias("right")), "b")
+        out = written(both.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long"), "near-links")
+        dropped(pairs, need, own)
+        return out
+
+    # nearly all links: shards of a least hash, large ones cut by chance, another way for each hash
+    keyed = reps.select("row", F.posexplode("least").alias("way", "key")).select(F.xxhash64("way", "key").alias("shard"), "row")
+    large = F.ceil(F.col("count") * 2 / limit).cast("long")
+    cut = F.when(F.col("count") > limit, F.pmod(F.xxhash64("row", "shard"), large)).otherwise(0)
+    keyed = keyed.join(keyed.groupBy("shard").count().filter("count > 1"), "shard").select(F.xxhash64("shard", cut).alias("shard"), "row")
+    first = confirmed(by_shard(keyed.join(nodes, "row"), ["row", "print", "n", "parity"], likely, "a long, b long", EDGES))
+    # all that are left: texts of different components whose prefixes share a shingle
+    total = reps.agg(F.coalesce(F.sum(F.floor(F.col("n") / 5) + 1), F.lit(0))).first()[0]
+    shared = written(sharing(sets, total), "near-shared")
+    roots = nodes.select("row").join(components(first).withColumnRenamed("node", "row"), "row", "left").select("row", F.coalesce("root", "row").alias("root"))
+    placed = written(shared.join(roots, "row").select("shingle", "row", "root"), "near-placed")
+    dropped(shared)
+    apart = placed.groupBy("shingle").agg(F.count(F.lit(1)).alias("count"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("shingle", "count")
+    apart = written(placed.join(apart, "shingle"), "near-apart")
+    dropped(placed)
+    few = apart.filter(F.col("count") <= limit).select(F.xxhash64("shingle").alias("shard"), "row", "root")
+    # blocks of half the limit, each pair of them a shard
+    own = F.pmod(F.xxhash64("row"), F.col("blocks"))
+    many = apart.filter(F.col("count") > limit).withColumn("blocks", large).select("shingle", "row", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    many = many.filter("own != other").select(F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "row", "root")
+    second = confirmed(pairs_apart(few.unionByName(many).join(nodes.drop("print"), "row")))
+    dropped(apart)
+    return first.unionByName(second)
 
 
 def near_duplicates(docs: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
     """doc_id and the smallest doc_id that isn't null of its group, a row for each row: documents connected by similarity, texts of the same words among them."""
-    prints = written(sketches(docs), "near-sketches")
+    prints = written(sketches(docs, frequent_shingles(docs)), "near-sketches", wide=True)
     same = written(prints.groupBy("same").agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id")), "near-texts")
-    reps = written(prints.select("row", "print", "n", "least").join(same.select("row"), "row", "left_semi"), "near-nodes")
-    roots = components(wide_edges(reps, prints.select("row", "shingles"), limit))
+    reps = written(prints.select("row", "print", "n", "least", "parity").join(same.select("row"), "row", "left_semi"), "near-nodes")
+    roots = components(wide_edges(reps, prints.select("row", "same", "n", "shingles"), limit))
     named = same.join(roots.withColumnRenamed("node", "row"), "row", "left").select("same", "least_id", F.coalesce("root", "row").alias("root"))
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return prints.select("doc_id", "same").join(named.select("same", "root").join(names, "root"), "same").select("doc_id", "component_id")
+    out = written(prints.select("doc_id", "same").join(named.select("same", "root").join(names, "root"), "same").select("doc_id", "component_id"), "near-groups")
+    dropped(prints, same, reps)
+    return out
 
 
 def representatives(docs: DataFrame) -> DataFrame:

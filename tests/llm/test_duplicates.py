@@ -126,6 +126,40 @@ def test_near_duplicates_against_all_pairs(spark, limit):
     assert simhash.near_duplicates(docs.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [512, 6])
+def test_near_duplicates_lose_no_link(spark, limit):
+    rng = random.Random(21)
+    line = lambda n: [rng.choice("abcdefgh") + str(rng.randrange(300)) for _ in range(n)]
+    texts = []
+    for _ in range(300):
+        own = line(104)
+        # 89 of 111 shingles are shared: 0.802; and just under it, 88 of 112
+        texts += [" ".join(own), " ".join(own[:93] + line(11)), " ".join(own[12:] + line(12))]
+    # a crowd in which each is like the next ones only, with a line that all of them and others hold
+    long, notice = line(300), line(30)
+    texts += [" ".join(notice + long[4 * i : 4 * i + 90]) for i in range(50)]
+    texts += [" ".join(notice + line(40)) for _ in range(20)]
+    docs = documents(spark, texts).filter("doc_id IS NOT NULL")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, limit).collect()}
+    pairs = wide_pairs(texts)
+    assert len(pairs) > 390
+    assert got == dict(enumerate(joined(len(texts), pairs)))
+
+
+def test_parity_bitmaps_pass_every_similar_pair():
+    rng = np.random.default_rng(5)
+    sets = []
+    for n in (1, 5, 63, 64, 65, 130, 1000, 20_000):
+        own = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        sets += [own, *(np.union1d(own[: len(own) - cut], rng.integers(0, 2**63, more, dtype=np.uint64)) for cut, more in ((n // 9, n // 9), (n // 5, 0), (0, n // 4), (n // 3, n // 3)))]
+    a, b = np.triu_indices(len(sets), 1)
+    some = simhash.sized(np.array([len(s) for s in sets]), a, b)
+    a, b = a[some], b[some]
+    like = np.array([simhash.jaccard(sets[i], sets[j]) >= 0.8 for i, j in zip(a, b, strict=True)])
+    passed = simhash.possible(np.array([len(s) for s in sets]), [simhash.parity(s) for s in sets], a, b)
+    assert like.sum() > 20 and passed[like].all() and not passed.all()
+
+
 def test_near_duplicates_of_the_test_tables(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
