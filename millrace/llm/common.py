@@ -41,7 +41,24 @@ def one_machine(master: str) -> bool:
 
 
 #: For rows of megabytes: Parquet's writer looks at its buffers after each row, not after a hundred.
-WIDE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(32 << 20)}
+WIDE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1", "parquet.block.size": str(8 << 20)}
+
+#: Bytes that go to a Python worker at a time, and rows of a Parquet file read at a time. By Spark's defaults (64 MB, 4096 rows)
+#: each task holds several times as much, in buffers that double as they grow and that its executor keeps.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(CHUNK_BYTES), "spark.sql.parquet.columnarReaderBatchSize": "512"}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside moves its rows in batches of bounded size; the session's own settings come back after it."""
+    before = {k: spark.conf.get(k, None) for k in BATCHES}
+    try:
+        for k, v in BATCHES.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, label: str, wide: bool = False) -> DataFrame:
@@ -51,7 +68,8 @@ def written(df: DataFrame, label: str, wide: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**(WIDE_ROWS if wide else {})).parquet(path)
+    with small_batches(spark):
+        df.write.options(**(WIDE_ROWS if wide else {})).parquet(path)
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)

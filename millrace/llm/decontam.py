@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, record, texts, written
+from .common import chunks, record, small_batches, texts, written
 
 WINDOW = 10
 SLOP = 20
@@ -151,7 +151,8 @@ def term_counts(index: DataFrame, items: list[Item]) -> dict[bytes, int]:
         yield record(COUNTS, list(total), list(total.values()))
 
     counted = index.select("terms", "list_starts").mapInArrow(run, "term binary, n long")
-    return {bytes(r["term"]): r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
+    with small_batches(index.sparkSession):
+        return {bytes(r["term"]): r["n"] for r in counted.groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
 
 
 def near_documents(ranked: list[bytes], lists: dict[bytes, np.ndarray], docs: dict[bytes, np.ndarray], starts: np.ndarray) -> list[int]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, record
+from .common import chunks, record, small_batches
 
 UNKNOWN = "und"
 DIM = 4096
@@ -137,7 +137,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             yield record(pa.schema([("model", pa.binary())]), [pickle.dumps(model)])
 
     vectors = labelled.mapInArrow(run, "lang string, h long, x binary").dropDuplicates(["lang", "h"])
-    model = vectors.repartition(1).mapInArrow(fitted, "model binary").first()
+    with small_batches(docs.sparkSession):
+        model = vectors.repartition(1).mapInArrow(fitted, "model binary").first()
     return pickle.loads(model["model"]) if model else None
 
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, dropped, record, texts, trimmed, written
+from .common import chunks, dropped, record, small_batches, texts, trimmed, written
 
 RADIUS = 3
 SEED = 42
@@ -327,7 +327,8 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
             yield record(schema, pa.array(np.concatenate([h for _, h in shingle_sets(batch)]).view(np.int64)))
 
     counts = sample.select("text").mapInArrow(run, "shingle long").groupBy("shingle").count().filter(F.col("count") >= OFTEN)
-    return np.sort(np.array([r["shingle"] for r in counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect()], np.int64).view(np.uint64))
+    with small_batches(docs.sparkSession):
+        return np.sort(np.array([r["shingle"] for r in counts.orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect()], np.int64).view(np.uint64))
 
 
 def parity(hashes: np.ndarray) -> bytes:

@@ -9,6 +9,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import common, lang_id, license_scan, lm_score, packing, quality, secret_scan, simple8b
@@ -483,3 +484,18 @@ def test_a_shared_folder_is_asked_for_off_one_machine(spark):
     assert held.count() == 3
     common.dropped(held)
     assert not list(Path(held.written_to.removeprefix("file://")).parent.glob("dropped-*"))
+
+
+def test_wide_rows_go_to_python_in_small_batches(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('x', 10000)").alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    found = [tuple(r) for r in common.written(docs.mapInArrow(sizes, "rows long, bytes long"), "sizes").collect()]
+    assert sum(n for n, _ in found) == 4000
+    assert max(n for _, n in found) <= common.CHUNK_BYTES + 20_000
+    assert spark.conf.get(limit) == before
