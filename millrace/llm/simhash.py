@@ -21,7 +21,8 @@ Then comes an exact step. Sets are written in one order of all shingles, frequen
 read off a sample). Of two sets that are similar, the first n - ceil(0.8 n) + 1 of each have a shingle in common. All these
 prefixes are gathered by shingle. Where texts of different components share one, all such pairs are compared, block by block if there are
 many: by their sizes and by parity bitmaps, whose differing bits are never more than the shingles in which the sets differ, so that
-no similar pair is passed over, and then on the whole sets. Only the pairs that pass the bitmaps move sets.
+no similar pair is passed over, and then on the whole sets. Of the shingles that a pair shares, the smallest reports it: the others see
+it among the `LISTED` least of both texts, or report the pair again. Only the pairs that pass the bitmaps move sets.
 
 Defined results. Null text is empty text: no words, fingerprint zero, linked like any other. Repeated rows each give a
 row. A null doc_id gets a fingerprint and the component of its fingerprint; the component's name is the smallest
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,6 +57,8 @@ SAMPLE, OFTEN, FREQUENT = 10_000, 6, 200_000
 PARITY_BITS = 1 << 14
 #: Shingles of prefixes that a task gathers at a time.
 BUCKET = 250_000
+#: The least shared shingles of a text that tell in which shard its pairs are compared.
+LISTED = 8
 #: Up to so many rows whose sets are asked for are broadcast.
 FEW_ROWS = 2_000_000
 #: Bytes of text that are sketched at a time.
@@ -513,9 +517,12 @@ def sharing(sets: DataFrame, total: int) -> DataFrame:
 
 
 def pairs_apart(rows: DataFrame) -> DataFrame:
-    """rows: shard, row, root, n, parity. (a, b) of a shard's texts of different roots that the bitmaps allow; a shard is held whole."""
+    """rows: shard, row, root, n, parity, shingle, own, inner, least. (a, b) of a shard's texts of different roots that the bitmaps allow; a shard is held whole.
 
-    def solve(shard: np.ndarray, row: np.ndarray, root: np.ndarray, n: np.ndarray, bitmaps: list[bytes]) -> Iterator[pa.RecordBatch]:
+    Texts of one block (own) are paired where inner says so. A pair that shares one of its least shingles is left to the smallest one's shard.
+    """
+
+    def solve(shard: np.ndarray, row: np.ndarray, root: np.ndarray, n: np.ndarray, shingle: np.ndarray, own: np.ndarray, inner: np.ndarray, least: np.ndarray, bitmaps: list[bytes]) -> Iterator[pa.RecordBatch]:
         first = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1])))
         count = np.diff(np.append(first, len(shard)))
         for size in np.unique(count[count > 1]).tolist():
@@ -523,19 +530,25 @@ def pairs_apart(rows: DataFrame) -> DataFrame:
             starts, step = first[count == size], max(1, (1 << 18) // len(i))
             for k in range(0, len(starts), step):
                 a, b = ((starts[k : k + step, None] + x).ravel() for x in (i, j))
-                fits = (root[a] != root[b]) & sized(n, a, b)
+                fits = (root[a] != root[b]) & ((own[a] != own[b]) | (inner[a] > 0)) & sized(n, a, b)
                 a, b = a[fits], b[fits]
                 if len(a):
                     good = possible(n, bitmaps, a, b)
-                    a, b = row[a[good]], row[b[good]]
+                    a, b = a[good], b[good]
+                    here = ~shared_before(least, shingle, a, b)
+                    a, b = row[a[here]], row[b[here]]
                     yield record(EDGES, pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bitmaps = [np.zeros(0, np.int64)] * 4, []
+        columns = ("shard", "row", "root", "n", "shingle", "own", "inner")
+        held, bitmaps = [np.zeros(0, np.int64)] * len(columns) + [np.zeros((0, LISTED), np.int64)], []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held = [np.concatenate((h, batch.column(c).to_numpy().astype(np.int64))) for h, c in zip(held, ("shard", "row", "root", "n"), strict=True)]
+            listed = batch.column("least")
+            least = np.full((batch.num_rows, LISTED), np.iinfo(np.int64).max)
+            least[np.arange(LISTED) < pc.list_value_length(listed).to_numpy()[:, None]] = listed.flatten().to_numpy()
+            held = [np.concatenate((h, x)) for h, x in zip(held, [*(batch.column(c).to_numpy().astype(np.int64) for c in columns), least], strict=True)]
             bitmaps += batch.column("parity").to_pylist()
             cut = int(np.searchsorted(held[0], held[0][-1]))
             if cut:
@@ -545,7 +558,18 @@ def pairs_apart(rows: DataFrame) -> DataFrame:
             yield from solve(*held, bitmaps)
         trimmed()
 
-    return rows.select("shard", "row", "root", "n", "parity").repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(run, "a long, b long")
+    return rows.select("shard", "row", "root", "n", "shingle", "own", "inner", "parity", "least").repartition("shard").sortWithinPartitions("shard", "row").mapInArrow(run, "a long, b long")
+
+
+def shared_before(least: np.ndarray, shingle: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the least shingles of pairs have one in common that is smaller than that of the pairs' shard."""
+    out = np.zeros(len(a), bool)
+    for k in range(LISTED):
+        own = least[a, k]
+        smaller = own < shingle[a]
+        for m in range(LISTED):
+            out |= smaller & (own == least[b, m])
+    return out
 
 
 def wide_edges(reps: DataFrame, sets: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
@@ -585,12 +609,14 @@ def wide_edges(reps: DataFrame, sets: DataFrame, limit: int = WIDE_LIMIT) -> Dat
     apart = placed.groupBy("shingle").agg(F.count(F.lit(1)).alias("count"), F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("shingle", "count")
     apart = written(placed.join(apart, "shingle"), "near-apart")
     dropped(placed)
-    few = apart.filter(F.col("count") <= limit).select(F.xxhash64("shingle").alias("shard"), "row", "root")
-    # blocks of half the limit, each pair of them a shard
+    few = apart.filter(F.col("count") <= limit).select(F.xxhash64("shingle").alias("shard"), "row", "root", "shingle", F.lit(0).cast("long").alias("own"), F.lit(1).alias("inner"))
+    # blocks of half the limit, each pair of them a shard; those of one block meet where the other is the next
     own = F.pmod(F.xxhash64("row"), F.col("blocks"))
-    many = apart.filter(F.col("count") > limit).withColumn("blocks", large).select("shingle", "row", "root", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    many = many.filter("own != other").select(F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "row", "root")
-    second = confirmed(pairs_apart(few.unionByName(many).join(nodes.drop("print"), "row")))
+    many = apart.filter(F.col("count") > limit).withColumn("blocks", large).select("shingle", "row", "root", "blocks", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    inner = (F.col("other") == (F.col("own") + 1) % F.col("blocks")).cast("int").alias("inner")
+    many = many.filter("own != other").select(F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("shard"), "row", "root", "shingle", "own", inner)
+    least = apart.groupBy("row").agg(F.slice(F.sort_array(F.collect_list("shingle")), 1, LISTED).alias("least"))
+    second = confirmed(pairs_apart(few.unionByName(many).join(nodes.drop("print").join(least, "row"), "row")))
     dropped(apart)
     return first.unionByName(second)
 

@@ -11,7 +11,7 @@ import xxhash
 
 import corpus_pipeline
 from millrace.llm import decontam, lang_id, packing, simhash, suffix_dedup
-from millrace.llm.common import remainder
+from millrace.llm.common import remainder, written
 from millrace.llm.tokens import vocabulary
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -146,6 +146,25 @@ def test_near_duplicates_lose_no_link(spark, limit):
     assert got == dict(enumerate(joined(len(texts), pairs)))
 
 
+@pytest.mark.parametrize("limit", [512, 6])
+def test_a_pair_that_shares_many_shingles_is_reported_once(spark, limit, monkeypatch):
+    rng, made, whole = random.Random(31), [], simhash.pairs_apart
+    base = [rng.choice("abcdefgh") + str(rng.randrange(300)) for _ in range(300)]
+    texts = [" ".join(edited(rng, base, 0.01)) for _ in range(30)]
+
+    def counted(rows):
+        made.append(written(whole(rows), "pairs"))
+        return made[-1]
+
+    monkeypatch.setattr(simhash, "likely", lambda rows: [])  # leaves all links to the exact step
+    monkeypatch.setattr(simhash, "pairs_apart", counted)
+    out = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), limit).collect()
+    pairs = wide_pairs(texts)
+    assert [c for _, c in sorted(tuple(r) for r in out)] == joined(len(texts), pairs)
+    assert made[0].distinct().count() >= len(pairs) > 200
+    assert made[0].count() <= 1.2 * made[0].distinct().count()
+
+
 def test_parity_bitmaps_pass_every_similar_pair():
     rng = np.random.default_rng(5)
     sets = []
