@@ -34,8 +34,8 @@ from .tokens import loaded
 
 CAPACITY = 2048
 END_ID = 0
-#: Bytes of text at a time: the more, the fewer units are looked up twice.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text at a time: the more, the fewer units are looked up twice, and the more memory each worker takes.
+CHUNK_BYTES = 1 << 20
 #: Rounds of multiplicative weights, and their rate.
 ROUNDS = 1500
 RATE = 0.5
