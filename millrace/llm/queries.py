@@ -41,7 +41,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import deduplicated
 
-    return deduplicated(table(spark, sf_dir, "documents"))
+    return deduplicated(table(spark, sf_dir, "documents"), passages=True)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,12 @@ An anchor with over `GROUP_LIMIT` distinct pieces is dealt anew: the strings of
 start, and each half goes with the bytes that all strings of it contain, until groups are small (at one start, all
 of a string is in the key).
 
+Passages, counted in a further column, are strings of `PASSAGE` words that another row of the table holds as well, whatever
+their bytes: 51 words can be shorter than 400 bytes, and the space between them can differ. Anchors and pieces are made of word
+hashes in the same way. Pieces whose anchor no other document has are left out at once, a piece that another document has counts
+whole, and of the rest the strings are compared by their hashes, those of an anchor in one task, or one by one where an anchor
+has over `GROUP_LIMIT` distinct pieces.
+
 Defined results. Null text is empty: zero bytes, the digest of nothing. Repeated rows repeat each other's strings. A
 null doc_id is kept. Texts below LENGTH bytes lose nothing. Empty table: empty result. Other columns are ignored.
 """
@@ -27,12 +33,13 @@ null doc_id is kept. Texts below LENGTH bytes lose nothing. Empty table: empty r
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, dropped, record, texts, written
@@ -44,10 +51,23 @@ GROUP_LIMIT = 2048
 #: Equal pieces beyond so many, and beyond this share of a partition's rows, are a hot key.
 HOT_ROWS, HOT_SHARE = 256, 64
 
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Words of a passage, and of the grams that are its anchors.
+PASSAGE, WORD_GRAM = 51, 8
+#: Strings of words that are compared at once, unless an anchor has more.
+PASSAGES_AT_ONCE = 1 << 18
+
 PIECES = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("d", pa.int64()), ("a", pa.int32()), ("rel", pa.int16()), ("size", pa.int16())])
 PIECES_DDL = "key long, h long, d long, a int, rel short, size short"
 CONTENT = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("d", pa.int64()), ("a", pa.int32()), ("rel", pa.int16()), ("low", pa.int16()), ("high", pa.int16()), ("piece", pa.binary())])
 CONTENT_DDL = "key long, h long, d long, a int, rel short, low short, high short, piece binary"
+WORD_PIECES = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("d", pa.int64()), ("first", pa.int32()), ("words", pa.int16()), ("a", pa.int32()), ("size", pa.int32())])
+WORD_PIECES_DDL = "key long, h long, d long, first int, words short, a int, size int"
+STARTS = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("low", pa.int16()), ("high", pa.int16())])
+STARTS_DDL = "h long, d long, low short, high short"
+STRINGS = pa.schema([("w", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("h", pa.int64()), ("d", pa.int64()), ("low", pa.int16())])
+STRINGS_DDL = "w long, lo long, hi long, h long, d long, low short"
 SPANS = pa.schema([("key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 SPANS_DDL = "key long, start int, end int"
 
@@ -126,22 +146,23 @@ def common_prefixes(text: list[int], order: list[int]) -> tuple[list[int], list[
     return lcp, rank
 
 
-def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from each place on, by doubling."""
-    h = (raw.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+def gram_hashes(units: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of the gram units, bytes or words, from each place on, by doubling."""
+    h = (units.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     m = 1
-    while m < GRAM:
-        h = (h[:-m] * np.uint64((0xD6E8FEB86659FD93 * (2 * m + 1)) % (1 << 64) | 1)) ^ (h[m:] + (h[m:] >> np.uint64(29)))
+    while m < gram:
+        step = min(m, gram - m)
+        h = (h[:-step] * np.uint64((0xD6E8FEB86659FD93 * (2 * m + 1)) % (1 << 64) | 1)) ^ (h[step:] + (h[step:] >> np.uint64(29)))
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(31)
-        m *= 2
+        m += step
     return h
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, ...]:
-    """For each anchor of a text: first and last start of its strings, the anchor's place, its hash."""
-    window = LENGTH - GRAM + 1
-    h = gram_hashes(np.frombuffer(text, np.uint8))
+def anchors(units: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """For each anchor of a text's bytes or words: first and last start of its strings, the anchor's place, its hash."""
+    window = length - gram + 1
+    h = gram_hashes(units, gram)
     least, at, m = h, np.arange(len(h), dtype=np.int32), 1
     while m < window:
         step = min(m, window - m)
@@ -162,7 +183,7 @@ def pieces(docs: DataFrame) -> DataFrame:
             for key, text in zip(batch.column("key").to_pylist(), texts(batch), strict=True):
                 if len(text) < LENGTH:
                     continue
-                first, last, at, h = anchors(text)
+                first, last, at, h = anchors(np.frombuffer(text, np.uint8), LENGTH, GRAM)
                 view = memoryview(text)
                 digest = [xxhash.xxh3_64_intdigest(view[i : j + LENGTH]) for i, j in zip(first.tolist(), last.tolist(), strict=True)]
                 for o, x in zip(out, (np.full(len(first), key), h.view(np.int64), np.array(digest, np.uint64).view(np.int64), first.astype(np.int32), (at - first).astype(np.int16), (last - first + LENGTH).astype(np.int16)), strict=True):
@@ -173,6 +194,44 @@ def pieces(docs: DataFrame) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, PIECES_DDL)
 
 
+def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash of each word, and where it starts and ends."""
+    inside = np.concatenate(([False], ~SPACE[np.frombuffer(text, np.uint8)], [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1]).astype(np.int32)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, WORD.findall(text)), np.uint64, len(edges) // 2), edges[::2], edges[1::2]
+
+
+def word_pieces(docs: DataFrame) -> DataFrame:
+    """docs: key, text. A row for each piece of words: the text's key, the anchor's hash, the piece's digest, its first word, its words, its first byte, its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            out: list[list[np.ndarray]] = [[] for _ in WORD_PIECES]
+            for key, text in zip(batch.column("key").to_pylist(), texts(batch), strict=True):
+                units, starts, ends = words(text)
+                if len(units) < PASSAGE:
+                    continue
+                first, last, _, h = anchors(units, PASSAGE, WORD_GRAM)
+                stop = last + PASSAGE
+                view = memoryview(units.tobytes())
+                digest = [xxhash.xxh3_64_intdigest(view[8 * i : 8 * j]) for i, j in zip(first.tolist(), stop.tolist(), strict=True)]
+                for o, x in zip(out, (np.full(len(first), key), h.view(np.int64), np.array(digest, np.uint64).view(np.int64), first.astype(np.int32), (stop - first).astype(np.int16), starts[first], ends[stop - 1] - starts[first]), strict=True):
+                    o.append(x)
+            if out[0]:
+                yield record(WORD_PIECES, *(pa.array(np.concatenate(o)) for o in out))
+
+    return docs.select("key", "text").mapInArrow(run, WORD_PIECES_DDL)
+
+
+def strings_of(pieces: list[bytes], sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pieces of so many words: the hash of each string of PASSAGE words, its piece, its start there."""
+    sizes = np.array(sizes, np.int64)
+    n = sizes - PASSAGE + 1
+    piece = np.repeat(np.arange(len(sizes)), n)
+    start = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+    return gram_hashes(words(b" ".join(pieces))[0], PASSAGE)[(np.cumsum(sizes) - sizes)[piece] + start], piece, start
+
+
 def shared_prefix(a: bytes, b: bytes) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
@@ -285,22 +344,109 @@ def halved(content: DataFrame) -> DataFrame:
     return content.mapInArrow(run, CONTENT_DDL)
 
 
-def of_repeated(every: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The rows of every whose (h, d) grouped counts more than once.
+def of_repeated(every: DataFrame, grouped: DataFrame, by: tuple[str, ...] = ("h", "d"), wanted: str = "n > 1") -> DataFrame:
+    """The rows of every whose key, (h, d), grouped counts more than once, or which is wanted otherwise.
 
-    A pair that holds a large share of the rows would take them all to one task. There are fewer than HOT_SHARE such pairs for each
+    A key that holds a large share of the rows would take them all to one task. There are fewer than HOT_SHARE such keys for each
     partition, so these few are broadcast and their rows stay where they are.
     """
-    spark = every.sparkSession
+    spark, by = every.sparkSession, list(by)
     total = grouped.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     most = max(HOT_ROWS, total // (HOT_SHARE * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    hot = F.broadcast(grouped.filter(F.col("n") > most).select("h", "d"))
-    others = every.join(hot, ["h", "d"], "left_anti").join(grouped.filter((F.col("n") > 1) & (F.col("n") <= most)).select("h", "d"), ["h", "d"], "left_semi")
-    return every.join(hot, ["h", "d"], "left_semi").unionByName(others)
+    grouped = grouped.filter(wanted)
+    hot = F.broadcast(grouped.filter(F.col("n") > most).select(by))
+    others = every.join(hot, by, "left_anti").join(grouped.filter(F.col("n") <= most).select(by), by, "left_semi")
+    return every.join(hot, by, "left_semi").unionByName(others)
+
+
+def counted(rows: DataFrame, by: list[str], lo: str, hi: str, *more: Column) -> DataFrame:
+    """Groups of rows: their number, and their least and greatest document. Where these differ, two documents have it."""
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(lo).alias("lo"), F.max(hi).alias("hi"), *more)
+
+
+def shared_words(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs: key, text. Word pieces whose anchor two documents have, the distinct ones of them, and spans (key, start, end) of rows that occur twice."""
+    every = written(word_pieces(docs), "word-pieces")
+    grouped = written(counted(every, ["h"], "key", "key").filter("lo != hi"), "shared-anchors")
+    near = written(of_repeated(every, grouped, ("h",), "lo != hi"), "shared-word-pieces")
+    # a row that occurs twice has one key: all its words are another's too
+    rows = every.groupBy("key").agg(F.sum((F.col("first") == 0).cast("int")).alias("n"), F.max(F.col("first") + F.col("words")).alias("end"))
+    twice = written(rows.filter("n > 1").select("key", F.lit(0).alias("start"), "end"), "rows-twice")
+    dropped(every, grouped)
+    distinct = counted(near, ["h", "d"], "key", "key", F.min(F.struct("key", "a", "size", "words")).alias("one"))
+    return near, written(distinct.select("h", "d", "n", "lo", "hi", "one.*"), "distinct-word-pieces"), twice
+
+
+def passages_within(content: DataFrame) -> DataFrame:
+    """content: distinct word pieces. Of those in one document, first and last start (h, d, low, high) of strings that another document has."""
+
+    def solve(rows: list[dict]) -> Iterator[tuple[int, int, int, int]]:
+        w, piece, start = strings_of([r["piece"] for r in rows], [r["words"] for r in rows])
+        lo, hi = np.array([r["lo"] for r in rows], np.int64), np.array([r["hi"] for r in rows], np.int64)
+        order = np.argsort(w, kind="stable")
+        heads = np.flatnonzero(np.concatenate(([True], w[order][1:] != w[order][:-1])))
+        of = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(w))))
+        hit = np.empty(len(w), bool)
+        hit[order] = (np.minimum.reduceat(lo[piece[order]], heads) != np.maximum.reduceat(hi[piece[order]], heads))[of]
+        at = np.flatnonzero(hit & (lo == hi)[piece])
+        new = np.concatenate(([True], (np.diff(at) > 1) | (np.diff(piece[at]) > 0)))[: len(at)]
+        for i, j in zip(at[new].tolist(), at[np.append(new[1:], True)[: len(at)]].tolist(), strict=True):
+            r = rows[piece[i]]
+            yield r["h"], r["d"], int(start[i]), int(start[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        strings = 0
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                for row in batch.slice(i, 2048).to_pylist():
+                    if strings > PASSAGES_AT_ONCE and row["h"] != held[-1]["h"]:
+                        if found := list(solve(held)):
+                            yield record(STARTS, *map(list, zip(*found, strict=True)))
+                        held, strings = [], 0
+                    held.append(row)
+                    strings += row["words"] - PASSAGE + 1
+        if held and (found := list(solve(held))):
+            yield record(STARTS, *map(list, zip(*found, strict=True)))
 
+    rows = content.select("h", "d", "lo", "hi", "words", "piece").repartition("h").sortWithinPartitions("h")
+    return rows.mapInArrow(run, STARTS_DDL)
 
-def repeated_spans(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """docs: key, text. Spans (key, start, end) that cover exactly the bytes to remove; they may overlap."""
+
+def passages_one_by_one(content: DataFrame) -> DataFrame:
+    """What passages_within() tells, with a row for each string, so that no anchor's pieces meet in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                w, piece, start = strings_of(part.column("piece").to_pylist(), part.column("words").to_pylist())
+                yield record(STRINGS, pa.array(w.view(np.int64)), *(part.column(c).take(pa.array(piece)) for c in ("lo", "hi", "h", "d")), pa.array(start.astype(np.int16)))
+
+    strings = written(content.select("h", "d", "lo", "hi", "words", "piece").mapInArrow(run, STRINGS_DDL), "word-strings")
+    grouped = written(counted(strings, ["w"], "lo", "hi"), "distinct-word-strings")
+    out = written(of_repeated(strings.filter("lo = hi"), grouped, ("w",), "lo != hi").select("h", "d", "low", F.col("low").alias("high")), "repeated-word-strings")
+    dropped(strings, grouped)
+    return out
+
+
+def passage_spans(near: DataFrame, grouped: DataFrame, content: DataFrame, group_limit: int) -> DataFrame:
+    """near, grouped: of shared_words(). content: distinct pieces of anchors that have several. Spans (key, start, end) of words."""
+    whole = of_repeated(near, grouped, wanted="lo != hi")
+    large = written(content.groupBy("h").count().filter(F.col("count") > group_limit).select("h"), "large-word-anchors")
+    starts = written(passages_within(content.join(large, "h", "left_anti")), "repeated-words")
+    if not large.isEmpty():
+        starts = starts.unionByName(passages_one_by_one(content.join(large, "h", "left_semi")))
+    parts = near.join(starts, ["h", "d"])
+    span = lambda rows, low, end: rows.select("key", low.alias("start"), end.alias("end"))
+    first = F.col("first")
+    return written(span(whole, first, first + F.col("words")).unionByName(span(parts, first + F.col("low"), first + F.col("high") + PASSAGE)), "repeated-word-pieces")
+
+
+def repeated_spans(docs: DataFrame, group_limit: int = GROUP_LIMIT, *, passages: bool) -> DataFrame:
+    """docs: key, text. Spans (key, in_words, start, end) that cover exactly the bytes to remove and, if passages are asked for, the words of passages; they may overlap."""
+    if passages:
+        near, distinct, twice = shared_words(docs)
     every = written(pieces(docs), "pieces")
     grouped = every.groupBy("h", "d").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "a", "rel", "size")).alias("one"))
     grouped = written(grouped.select("h", "d", "n", "one.*"), "distinct-pieces")
@@ -311,7 +457,17 @@ def repeated_spans(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame
     need = grouped.join(several, "h", "left_semi").select("key", "h", "d", "a", "rel", "size")
     cut = F.expr("substring(cast(text as binary), a + 1, size)")
     low, high = F.lit(GRAM - LENGTH).cast("short").alias("low"), F.lit(0).cast("short").alias("high")
-    content = written(docs.join(need, "key").select("key", "h", "d", "a", "rel", low, high, cut.alias("piece")).dropDuplicates(["h", "d"]), "piece-contents")
+    if passages:  # texts are moved once for both
+        several = distinct.groupBy("h").count().filter("count > 1").select("h")
+        of_words = distinct.join(several, "h", "left_semi").select("key", "h", "d", "a", "size", "words", "lo", "hi")
+        need = need.unionByName(of_words, allowMissingColumns=True)
+        content = written(docs.join(need, "key").select("key", "h", "d", "a", "rel", low, high, "words", "lo", "hi", cut.alias("piece")).dropDuplicates(["h", "d", "words"]), "piece-contents")
+        of_passages = passage_spans(near, distinct, content.filter("words is not null"), group_limit)
+        dropped(near, distinct)
+        both, content = content, content.filter("words is null").select(*CONTENT.names)
+        content.written_to = both.written_to
+    else:
+        content = written(docs.join(need, "key").select("key", "h", "d", "a", "rel", low, high, cut.alias("piece")).dropDuplicates(["h", "d"]), "piece-contents")
     dropped(grouped)
     while True:
         large = written(content.groupBy("h").count().filter(F.col("count") > group_limit).select("h"), "large-anchors")
@@ -332,7 +488,17 @@ def repeated_spans(docs: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out
+    out = out.withColumn("in_words", F.lit(False))
+    return out.unionByName(of_passages.unionByName(twice).withColumn("in_words", F.lit(True))) if passages else out
+
+
+def covered(spans: list[tuple[int, int]]) -> int:
+    """How much spans cover; they may overlap."""
+    total = end = 0
+    for i, j in sorted(spans):
+        total += max(0, j - max(i, end))
+        end = max(end, j)
+    return total
 
 
 def removal(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -353,21 +519,22 @@ def removal(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]
     return removed, runs, b"".join(kept)
 
 
-def deduplicated(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text: also `kept`, the bytes that are left."""
+def deduplicated(docs: DataFrame, with_text: bool = False, passages: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256; passages: also `n_passage_words`, the words in passages that other documents have; with_text: also `kept`, the bytes that are left."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(rows.select("key", "text")).groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = repeated_spans(rows.select("key", "text"), passages=passages).groupBy("key").agg(F.collect_set(F.struct("in_words", "start", "end")).alias("spans"))
     joined = rows.join(spans, "key", "left").select("doc_id", "text", "spans")
-    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), ("kept_sha256", pa.string()), *([("kept", pa.binary())] if with_text else [])])
+    schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), ("kept_sha256", pa.string()), *([("n_passage_words", pa.int64())] if passages else []), *([("kept", pa.binary())] if with_text else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             out = []
             for doc_id, text, own in zip(batch.column("doc_id").to_pylist(), texts(batch), batch.column("spans").to_pylist(), strict=True):
-                removed, runs, kept = removal(text, [(s["start"], s["end"]) for s in own or ()])
-                out.append((doc_id, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), kept)[: len(schema)])
+                of = [[(s["start"], s["end"]) for s in own or () if s["in_words"] == kind] for kind in (False, True)]
+                removed, runs, kept = removal(text, of[0])
+                out.append((doc_id, len(text), removed, runs, hashlib.sha256(kept).hexdigest(), *([covered(of[1])] if passages else []), *([kept] if with_text else [])))
             if out:
                 yield record(schema, *map(list, zip(*out, strict=True)))
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", n_passage_words long" * passages + ", kept binary" * with_text)

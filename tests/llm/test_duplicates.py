@@ -265,6 +265,44 @@ def test_suffix_dedup(spark, limit, monkeypatch):
     assert suffix_dedup.deduplicated(docs.filter("false")).count() == 0
 
 
+def brute_passages(rows, n=51):
+    """Of (doc_id, text) rows: the words in strings of n words that another row has too."""
+    split = [re.findall(r"[^ \t-\r]+", t or "") for _, t in rows]
+    seen = {}
+    for k, w in enumerate(split):
+        for i in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[i : i + n]), set()).add(k)
+    return [len({j for i in range(len(w) - n + 1) if len(seen[tuple(w[i : i + n])]) > 1 for j in range(i, i + n)}) for w in split]
+
+
+@pytest.mark.parametrize("limit", [3, 8192])
+def test_passages_of_over_50_words(spark, limit, monkeypatch):
+    monkeypatch.setattr(suffix_dedup.repeated_spans, "__defaults__", (limit,))
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", limit)
+    monkeypatch.setattr(suffix_dedup, "PASSAGES_AT_ONCE", 200)
+    rng = random.Random(limit)
+    some = lambda n: [rng.choice("abcdefgé") + str(rng.randrange(30)) for _ in range(n)]
+    passage, other = some(55), some(140)
+    put = lambda *parts: rng.choice((" ", "\n", " \t "))[:3].join(w for part in parts for w in part)
+    rows = [(1, None), (2, ""), (3, put(some(60))), (4, put(passage[:50], some(30))), (5, put(passage[:51])), (6, put(other, some(9), other))]
+    rows += [(7, put(some(80))), (None, put(some(70)))] * 2  # rows that occur twice
+    rows += [(20, "x " * 300), (21, "x " * 60 + "y"), (22, "z " * 400), (23, put(["w" * 9000], passage, some(3)))]
+    rows += [(100 + i, put(some(rng.randrange(90)), passage, some(rng.randrange(90)))) for i in range(15)]
+    rows += [(200 + i, put(some(9), other[rng.randrange(50) : rng.randrange(90, 140)], some(40), passage[rng.randrange(3) :])) for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.deduplicated(docs, passages=True)
+    plain = suffix_dedup.deduplicated(docs)
+    assert got.columns == [*plain.columns, "n_passage_words"]
+    got = got.collect()
+    want = brute_passages(rows)
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_passage_words"]) for r in got) == Counter((d, len((t or "").encode()), n) for (d, t), n in zip(rows, want, strict=True))
+    assert Counter(tuple(r)[:5] for r in got) == Counter(map(tuple, plain.collect()))
+    # passages too short for the bytes' rule, and others
+    short = {r["doc_id"] for r in got if r["n_passage_words"] >= 51 and not r["n_removed"]}
+    assert short and {r["doc_id"]: r["n_passage_words"] for r in got if r["doc_id"] in (2, 3, 4, 22)} == {2: 0, 3: 0, 4: 0, 22: 0}
+    assert suffix_dedup.deduplicated(docs.filter("false"), passages=True).count() == 0
+
+
 def test_suffix_array():
     rng = random.Random(4)
     for _ in range(1500):
