@@ -33,7 +33,6 @@ null doc_id is kept. Texts below LENGTH bytes lose nothing. Empty table: empty r
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,12 +50,15 @@ GROUP_LIMIT = 2048
 #: Equal pieces beyond so many, and beyond this share of a partition's rows, are a hot key.
 HOT_ROWS, HOT_SHARE = 256, 64
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: The first so many bytes of eight.
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 #: Words of a passage, and of the grams that are its anchors.
 PASSAGE, WORD_GRAM = 51, 8
 #: Strings of words that are compared at once, unless an anchor has more.
 PASSAGES_AT_ONCE = 1 << 18
+#: Bytes of text whose words are hashed at once, unless a text is longer.
+WORDS_AT_ONCE = 1 << 19
 
 PIECES = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("d", pa.int64()), ("a", pa.int32()), ("rel", pa.int16()), ("size", pa.int16())])
 PIECES_DDL = "key long, h long, d long, a int, rel short, size short"
@@ -159,8 +161,8 @@ def gram_hashes(units: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
-def anchors(units: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """For each anchor of a text's bytes or words: first and last start of its strings, the anchor's place, its hash."""
+def least_grams(units: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each string of so many units the place of its leftmost gram of the smallest hash, and the hashes of all grams."""
     window = length - gram + 1
     h = gram_hashes(units, gram)
     least, at, m = h, np.arange(len(h), dtype=np.int32), 1
@@ -170,6 +172,12 @@ def anchors(units: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]
         at = np.where(right, at[step:], at[:-step])
         least = np.where(right, least[step:], least[:-step])
         m += step
+    return at, h
+
+
+def anchors(text: bytes) -> tuple[np.ndarray, ...]:
+    """For each anchor of a text: first and last start of its strings, the anchor's place, its hash."""
+    at, h = least_grams(np.frombuffer(text, np.uint8), LENGTH, GRAM)
     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
     return first, np.append(first[1:], len(at)) - 1, at[first], h[at[first]]
 
@@ -183,7 +191,7 @@ def pieces(docs: DataFrame) -> DataFrame:
             for key, text in zip(batch.column("key").to_pylist(), texts(batch), strict=True):
                 if len(text) < LENGTH:
                     continue
-                first, last, at, h = anchors(np.frombuffer(text, np.uint8), LENGTH, GRAM)
+                first, last, at, h = anchors(text)
                 view = memoryview(text)
                 digest = [xxhash.xxh3_64_intdigest(view[i : j + LENGTH]) for i, j in zip(first.tolist(), last.tolist(), strict=True)]
                 for o, x in zip(out, (np.full(len(first), key), h.view(np.int64), np.array(digest, np.uint64).view(np.int64), first.astype(np.int32), (at - first).astype(np.int16), (last - first + LENGTH).astype(np.int16)), strict=True):
@@ -195,30 +203,46 @@ def pieces(docs: DataFrame) -> DataFrame:
 
 
 def words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A hash of each word, and where it starts and ends."""
+    """A hash of each word, and where it starts and ends. Words are what lies between the bytes of SPACE."""
     inside = np.concatenate(([False], ~SPACE[np.frombuffer(text, np.uint8)], [False]))
     edges = np.flatnonzero(inside[1:] != inside[:-1]).astype(np.int32)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, WORD.findall(text)), np.uint64, len(edges) // 2), edges[::2], edges[1::2]
+    starts, ends = edges[::2], edges[1::2]
+    sizes = ends - starts
+    # words of up to 16 bytes as two integers and their size; longer ones one by one
+    eight = np.ndarray(len(text) + 9, "<u8", text + bytes(16), strides=(1,))
+    h = eight[starts] & MASKS[np.minimum(sizes, 8)]
+    more = eight[np.minimum(starts + 8, len(text))] & MASKS[np.clip(sizes - 8, 0, 8)]
+    for x in (more, sizes.astype(np.uint64)):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        h = ((h ^ (h >> np.uint64(29))) + x) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(31)
+    for i in np.flatnonzero(sizes > 16).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[starts[i] : ends[i]])
+    return h, starts, ends
 
 
 def word_pieces(docs: DataFrame) -> DataFrame:
     """docs: key, text. A row for each piece of words: the text's key, the anchor's hash, the piece's digest, its first word, its words, its first byte, its bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            out: list[list[np.ndarray]] = [[] for _ in WORD_PIECES]
-            for key, text in zip(batch.column("key").to_pylist(), texts(batch), strict=True):
-                units, starts, ends = words(text)
-                if len(units) < PASSAGE:
-                    continue
-                first, last, _, h = anchors(units, PASSAGE, WORD_GRAM)
-                stop = last + PASSAGE
-                view = memoryview(units.tobytes())
-                digest = [xxhash.xxh3_64_intdigest(view[8 * i : 8 * j]) for i, j in zip(first.tolist(), stop.tolist(), strict=True)]
-                for o, x in zip(out, (np.full(len(first), key), h.view(np.int64), np.array(digest, np.uint64).view(np.int64), first.astype(np.int32), (stop - first).astype(np.int16), starts[first], ends[stop - 1] - starts[first]), strict=True):
-                    o.append(x)
-            if out[0]:
-                yield record(WORD_PIECES, *(pa.array(np.concatenate(o)) for o in out))
+        for batch in chunks(batches, WORDS_AT_ONCE):
+            several = texts(batch)
+            units, starts, ends = words(b" ".join(several))
+            byte = np.cumsum([0, *(len(t) + 1 for t in several)])
+            word = np.searchsorted(starts, byte)
+            of = np.repeat(np.arange(len(several)), np.diff(word))
+            # strings that lie in one text
+            begin = np.flatnonzero(of[: 1 - PASSAGE] == of[PASSAGE - 1 :])
+            if not len(begin):
+                continue
+            at, h = least_grams(units, PASSAGE, WORD_GRAM)
+            at = at[begin]
+            new = np.concatenate(([True], at[1:] != at[:-1]))
+            first, stop = begin[new], begin[np.append(new[1:], True)] + PASSAGE
+            view, of = memoryview(units.tobytes()), of[first]
+            digest = [xxhash.xxh3_64_intdigest(view[8 * i : 8 * j]) for i, j in zip(first.tolist(), stop.tolist(), strict=True)]
+            keys = batch.column("key").to_numpy()[of]
+            yield record(WORD_PIECES, *map(pa.array, (keys, h[at[new]].view(np.int64), np.array(digest, np.uint64).view(np.int64), (first - word[of]).astype(np.int32), (stop - first).astype(np.int16), (starts[first] - byte[of]).astype(np.int32), ends[stop - 1] - starts[first])))
 
     return docs.select("key", "text").mapInArrow(run, WORD_PIECES_DDL)
 
